@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lekhya.io import table
+from lekhya.io import materialise, table
 
 #: Instants per bucket of the as-of match: one day of microseconds.
 BUCKET = 86_400_000_000
@@ -106,8 +106,11 @@ def lives(chunks: DataFrame, deletions: DataFrame, keep: list[str]) -> DataFrame
         .select("id", *[c for c in keep if c != "id"], micros("loaded_at").alias("_loaded"))
         .withColumn("_neg", -F.col("_loaded"))
     )
-    dated = asof_end(rows, gone, ["id"], "_neg")
-    return dated.select(*keep, F.col("_loaded").alias("run_start"), F.coalesce(-F.col("run_end"), F.lit(OPEN)).alias("run_end"))
+    deleted = gone.select("id").distinct()
+    never = rows.join(deleted, "id", "left_anti").withColumn("run_end", F.lit(OPEN))
+    dated = asof_end(rows.join(deleted, "id", "left_semi"), gone, ["id"], "_neg").withColumn("run_end", F.coalesce(-F.col("run_end"), F.lit(OPEN)))
+    out = [*keep, F.col("_loaded").alias("run_start"), "run_end"]
+    return never.select(*out).unionByName(dated.select(*out))
 
 
 #: What a target key consists of; a part that a kind does not use is empty.
@@ -202,7 +205,8 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def _orphans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
     refs = references(chunks, table(spark, sf_dir, "entities"), table(spark, sf_dir, "acts"))
-    return orphans(refs, parent_keys(chunks, table(spark, sf_dir, "chunk_deletions")))
+    # the keys are read by both passes
+    return orphans(refs, materialise(parent_keys(chunks, table(spark, sf_dir, "chunk_deletions"))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
