@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import encoding, visual
+from lekhya.llm import canonical, encoding, tokens, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": canonical.p1_found,
+        "p1_unmatched": canonical.p1_unmatched,
         "p5_found": visual.p5_found,
         "p5_unified": visual.p5_unified,
         "p7_found": encoding.p7_found,
         "p7_restored": encoding.p7_restored,
+        "p8_counts": tokens.p8_counts,
+        "p8_ids": tokens.p8_ids,
     }
 
 
