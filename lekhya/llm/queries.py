@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import canonical, encoding, tokens, visual
+from lekhya.llm import canonical, encoding, mixing, pii, tokens, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,13 @@ def queries() -> dict[str, Query]:
         "p5_unified": visual.p5_unified,
         "p7_found": encoding.p7_found,
         "p7_restored": encoding.p7_restored,
-        "p8_counts": tokens.p8_counts,
         "p8_ids": tokens.p8_ids,
+        "p8_counts": tokens.p8_counts,
+        "p9_mix": mixing.p9_mix,
+        "p9_report": mixing.p9_report,
+        "p10_found": pii.p10_found,
+        "p10_redacted": pii.p10_redacted,
+        "p10_report": pii.p10_report,
     }
 
 
