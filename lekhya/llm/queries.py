@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import canonical, encoding, mixing, pii, tokens, visual
+from lekhya.llm import canonical, encoding, mixing, pii, scans, tokens, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": canonical.p1_found,
         "p1_unmatched": canonical.p1_unmatched,
+        "p4_found": scans.p4_found,
+        "p4_corrections": scans.p4_corrections,
+        "p4_repaired": scans.p4_repaired,
         "p5_found": visual.p5_found,
         "p5_unified": visual.p5_unified,
         "p7_found": encoding.p7_found,
