@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lekhya.operators import nested, orphans, units
+from lekhya.plans import reference_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +71,7 @@ def queries() -> dict[str, Query]:
         "p3_report": orphans.p3_report,
         "p6_found": units.p6_found,
         "p6_report": units.p6_report,
+        **reference_queries.queries(),
     }
 
 
@@ -79,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_refs": """SELECT chunk_row_id, CAST(i - 1 AS INT) AS ref_pos, refs[i].type AS ref_type, refs[i].id AS ref_id, refs[i].text AS ref_text
             FROM chunks, unnest(range(1, len(refs) + 1)) AS u(i) WHERE refs[i] IS NOT NULL""",
         "p3_found": f"WITH {_RUNS} SELECT src_table, src_id, CAST(ref_pos AS INT) AS ref_pos FROM all_refs WHERE NOT alive",
+        **reference_queries.oracle_sql(),
     }
