@@ -49,13 +49,17 @@ def _list(v: Column, path: str, keep: Callable[[Column], Column]) -> Column:
 
 
 def parse_answer(content: Column) -> Column:
-    """struct of the six fields, or null if the answer is not valid.
+    """The fields of an answer as text; see ``parse_variant``."""
+    return parse_variant(F.try_parse_json(unfenced(content)))
+
+
+def parse_variant(v: Column) -> Column:
+    """struct of the six fields of a parsed answer, or null if it is not valid.
 
     Invalid are: no JSON object, or a text field that is neither text nor null.
     The office may be an object with a name.  Documents of two characters or
     less and steps of one word are left out; a list that is none is empty.
     """
-    v = F.try_parse_json(unfenced(content))
     office_kind = _kind(v, "$.office")
     filled = lambda x: F.when(x != "", x)
     inner = F.coalesce(filled(F.try_variant_get(v, "$.office.name", "string")), filled(F.try_variant_get(v, "$.office.office", "string")))
@@ -204,7 +208,9 @@ def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5
 def entities_of(answered: DataFrame, rules: RulePack = NEPALI) -> DataFrame:
     """Entities of chunks with ``answer``: valid, cleaned and not empty."""
     e = F.col("_e")
-    got = answered.withColumn("_e", cleaned(parse_answer(F.col("answer")), rules)).filter(e.isNotNull() & has_entities(e))
+    # step by step: each is used many times by the next
+    parsed = answered.withColumn("_v", F.try_parse_json(unfenced(F.col("answer")))).withColumn("_p", parse_variant(F.col("_v")))
+    got = parsed.withColumn("_e", cleaned(F.col("_p"), rules)).filter(e.isNotNull() & has_entities(e))
     keep = [c for c in ("act_slug", "ord") if c in answered.columns]
     return got.select(
         *keep, F.coalesce("id", F.lit("unknown")).alias("chunk_id"), clause_ref(F.col("hierarchy"), F.col("type")).alias("clause_ref"),

@@ -79,14 +79,9 @@ def context_windows(chunks: DataFrame, size: int = 3, partition: str = "act_slug
     marked = chunks.withColumn("_break", F.coalesce((sec != F.lag(sec).over(w)).cast("int"), F.lit(1)))
     marked = marked.withColumn("_island", F.sum("_break").over(w))
     inside = W.partitionBy(partition, "_island").orderBy(order)
-    marked = marked.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / size))
-    rest = [c for c in chunks.columns if c not in (partition, "text")]
-    # at most ``size`` rows a group
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("text").alias("_t"), F.struct(*rest).alias("_r"))))
-    grouped = marked.groupBy(partition, "_island", "_part").agg(rows.alias("_rows"))
-    first = F.col("_rows")[0]["_r"]
-    return grouped.select(
-        F.col(partition), *[first[c].alias(c) for c in rest],
-        F.array_join(F.transform("_rows", lambda r: F.coalesce(r["_t"], F.lit(""))), "\n\n").alias("text"),
-        F.when(F.size("_rows") > 1, F.transform("_rows", lambda r: r["_r"]["id"])).alias("merged_ids"),
-    )
+    marked = marked.withColumn("_at", F.row_number().over(inside) - 1)
+    # at most ``size`` rows from the first of each window on
+    ahead = W.partitionBy(partition, "_island", F.floor(F.col("_at") / size)).orderBy(order).rowsBetween(0, size - 1)
+    got = marked.withColumn("_texts", F.collect_list(F.coalesce("text", F.lit(""))).over(ahead)).withColumn("_ids", F.collect_list(F.coalesce("id", F.lit(""))).over(ahead))
+    merged = got.filter(F.col("_at") % size == 0).withColumn("text", F.when(F.size("_texts") > 1, F.array_join("_texts", "\n\n")).otherwise(F.col("text")))
+    return merged.withColumn("merged_ids", F.when(F.size("_ids") > 1, F.col("_ids"))).drop("_break", "_island", "_at", "_texts", "_ids")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lekhya.io import materialise
 from lekhya.operators import entities, hierarchy, metadata, metrics, relevance, retrieval, store
 from lekhya.rules import NEPALI, RulePack
 
@@ -54,7 +55,9 @@ def entity_results(chunks: DataFrame, extractor: entities.Extractor, use_windowi
         chunks = chunks.withColumn("_n", F.row_number().over(W.partitionBy("act_slug").orderBy("ord"))).filter(F.col("_n") <= limit).drop("_n")
     passed = relevance.relevant(chunks, rules)
     asked = relevance.context_windows(passed, window) if use_windowing else passed
-    found = entities.entities_of(entities.answers(asked, extractor), rules)
+    # written once: nothing may ask the model again
+    answered = materialise(entities.answers(asked, extractor))
+    found = materialise(entities.entities_of(answered, rules))
     counts = passed.groupBy("act_slug").agg(F.count("*").alias("total_chunks_filtered")).join(asked.groupBy("act_slug").agg(F.count("*").alias("total_chunks_processed")), "act_slug")
     return {"entities": found, "workflows": entities.workflows(found, rules=rules), "counts": counts}
 

@@ -261,7 +261,7 @@ def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
     """Outputs written as JSON answers in a fence and parsed again."""
     fields = ("office", "documents_required", "steps", "price", "duration_days", "prerequisites")
     answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), F.lit("\n```"))
-    got = _outputs(spark, d).withColumn("_a", entities.parse_answer(answer))
+    got = _outputs(spark, d).withColumn("_v", F.try_parse_json(entities.unfenced(answer))).withColumn("_a", entities.parse_variant(F.col("_v")))
     return got.select(
         "output_id", F.col("_a.office").alias("office"), F.col("_a.price").alias("price"), F.coalesce(F.size("_a.documents_required"), F.lit(0)).alias("n_documents"),
         F.coalesce(F.size("_a.steps"), F.lit(0)).alias("n_steps"),
