@@ -172,11 +172,8 @@ def _rounded(df: DataFrame, col: str = "score") -> DataFrame:
 def _dense(similarity: Callable[[Column, Column], Column], **more: object) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         corpus, queries = _vectors(spark, d)
-        scored = retrieval.dense_scores(corpus if "label" not in more else corpus.filter(F.col("label") == more["label"]), queries, similarity)
-        scored = _rounded(scored)
-        if "threshold" in more:
-            scored = scored.filter(F.col("score") >= more["threshold"])
-        return retrieval.top_k(scored, K).select("qid", "docid", "score", "rank")
+        where = F.col("label") == more["label"] if "label" in more else None
+        return retrieval.dense_search(corpus, queries, K, similarity, where, more.get("threshold"), 6).select("qid", "docid", "score", "rank")
 
     return run
 
@@ -193,7 +190,7 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Fusion of the dense and sparse top 2k of the same query ids."""
     corpus, queries = _vectors(spark, d)
-    dense = retrieval.top_k(_rounded(retrieval.dense_scores(corpus, queries)), retrieval.PREFETCH * K)
+    dense = retrieval.dense_search(corpus, queries, retrieval.PREFETCH * K, digits=6)
     sparse = retrieval.top_k(_sparse_scores(spark, d), retrieval.PREFETCH * K)
     fused = retrieval.rrf([dense, sparse], 1_000_000)
     return retrieval.top_k(fused.drop("rank").withColumn("score", F.round("score", 9)), K).select("qid", "docid", "score", "rank")
