@@ -200,7 +200,7 @@ class Finder:
                 begin -= 1
             tokens = [(t.start(), t.end(), t.group()) for t in _TOKEN.finditer(line, begin, min(len(line), b + 60))]
             k = next(i for i, t in enumerate(tokens) if t[0] == a)
-            best = (0.0, a, b)
+            best = (0.0, 0, a, b)
             for step in (-1, -2, 1, 2):
                 j = k + step
                 if not 0 <= j < len(tokens):
@@ -225,12 +225,12 @@ class Finder:
                 context = 0.3 * bool(TITLES.search(before) or NAME_WORDS.search(before) or (step < 0 and NAME_AFTER.match(line[b - 2 : b + 14])) or NAME_AFTER.match(after))
                 # an ordinary or unknown word counts as a name where the rest is sure
                 score = s + (g if g else 0.2 * (s >= 0.9 or context > 0)) + context
-                best = max(best, (score, lo, hi))
+                best = max(best, (round(score, 3), hi - lo, lo, hi))  # the longer of equals
             title = TITLES.search(line[:a])
             if title and s >= 0.9 and best[0] < ACCEPT:
-                best = (1.2, a, b)
+                best = (1.2, b - a, a, b)
             if best[0] >= ACCEPT:
-                lo, hi = best[1], best[2]
+                lo, hi = best[2], best[3]
                 last = line[lo:hi]
                 for c in CASES:
                     if last.endswith(c) and self._weigh(last.split()[-1].lower()) == (0.0, 0.0):
