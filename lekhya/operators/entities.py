@@ -179,6 +179,14 @@ def no_model(text: str) -> str | None:
     return None
 
 
+def resolve_model(wanted: str | None, installed: list[str]) -> str | None:
+    """The installed model that is meant: the same name, else a longer one, else the first."""
+    if wanted in installed:
+        return wanted
+    longer = [m for m in installed if wanted and m.startswith(wanted)]
+    return (longer or installed or [None])[0]
+
+
 def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5, wait: Callable[[int], float] | None = None) -> DataFrame:
     """``chunks`` with ``answer``: what the extractor says to each text.
 

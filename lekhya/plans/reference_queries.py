@@ -192,8 +192,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _vectors(spark, d)
     dense = retrieval.dense_search(corpus, queries, retrieval.PREFETCH * K, digits=6)
     sparse = retrieval.top_k(_sparse_scores(spark, d), retrieval.PREFETCH * K)
-    fused = retrieval.rrf([dense, sparse], 1_000_000)
-    return retrieval.top_k(fused.drop("rank").withColumn("score", F.round("score", 9)), K).select("qid", "docid", "score", "rank")
+    return retrieval.rrf([dense, sparse], K, digits=9).select("qid", "docid", "score", "rank")
 
 
 def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
