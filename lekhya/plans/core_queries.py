@@ -31,10 +31,17 @@ all_refs AS (
                         WHEN 'ch' THEN l.ch = try_cast(p.tail AS INT) AND NOT starts_with(l.type, 'anusuchi')
                         WHEN 'sub' THEN l.sub = try_cast(p.tail AS INT) AND l.sec IS NOT DISTINCT FROM p.sec
                         WHEN 'cl' THEN l.clause = p.tail AND l.sec IS NOT DISTINCT FROM p.sec END) AS alive
+, EXISTS (
+      SELECT 1 FROM lived l WHERE l.act_slug = p.owner
+        AND CASE p.kind WHEN 'sec' THEN l.sec = try_cast(p.tail AS INT)
+                        WHEN 'ch' THEN l.ch = try_cast(p.tail AS INT) AND NOT starts_with(l.type, 'anusuchi')
+                        WHEN 'sub' THEN l.sub = try_cast(p.tail AS INT) AND l.sec IS NOT DISTINCT FROM p.sec
+                        WHEN 'cl' THEN l.clause = p.tail AND l.sec IS NOT DISTINCT FROM p.sec END) AS ever
   FROM parsed p
   UNION ALL
   SELECT 'entities', entity_id, 0, extracted_at, EXISTS (
-      SELECT 1 FROM lived l WHERE l.id = e.chunk_id AND l.loaded_at <= e.extracted_at AND (l.gone_at IS NULL OR l.gone_at > e.extracted_at))
+      SELECT 1 FROM lived l WHERE l.id = e.chunk_id AND l.loaded_at <= e.extracted_at AND (l.gone_at IS NULL OR l.gone_at > e.extracted_at)),
+    EXISTS (SELECT 1 FROM lived l WHERE l.id = e.chunk_id)
   FROM entities e WHERE chunk_id IS NOT NULL)
 """
 
@@ -81,5 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_refs": """SELECT chunk_row_id, CAST(i - 1 AS INT) AS ref_pos, refs[i].type AS ref_type, refs[i].id AS ref_id, refs[i].text AS ref_text
             FROM chunks, unnest(range(1, len(refs) + 1)) AS u(i) WHERE refs[i] IS NOT NULL""",
         "p3_found": f"WITH {_RUNS} SELECT src_table, src_id, CAST(ref_pos AS INT) AS ref_pos FROM all_refs WHERE NOT alive",
+        "p3_report": f"""WITH {_RUNS} SELECT src_table, strftime(ref_at, '%Y-%m') AS month, CASE WHEN ever THEN 'dead' ELSE 'never' END AS reason, count(*) AS n_orphans
+            FROM all_refs WHERE NOT alive GROUP BY ALL""",
         **reference_queries.oracle_sql(),
     }

@@ -70,7 +70,7 @@ def parse_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents parsed as acts into chunks."""
     docs = _documents(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("act_slug", F.lit("")).alias("slug"), F.lit(None).cast("int").alias("bs_year"), "text")
     got = hierarchy.parse(docs)
-    return got.select("doc", "ord", "id", "type", F.col("hierarchy.sec").alias("sec"), F.col("hierarchy.clause").alias("clause"), "text", F.col("stats.tokens").alias("tokens"))
+    return got.select("doc", "ord", "id", "type", F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"), F.col("hierarchy.clause").alias("clause"), "text", F.col("stats.tokens").alias("tokens"))
 
 
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -445,6 +445,60 @@ def _metric_sql() -> str:
       round(round(avg(Precision), 6), 4) AS Precision, round(round(avg(MAP), 6), 4) AS MAP, round(round(avg(HitRate), 6), 4) AS HitRate FROM per GROUP BY ALL"""
 
 
+def _lines_sql() -> str:
+    """The lines of documents from where their content begins: table ``body``."""
+    r = NEPALI
+    word = " OR ".join([f"starts_with(line, '{x}')" for x in r.starts] + [f"contains(line, '{x}')" for x in r.start_contains])
+    gazette = ", ".join(f"'{x}'" for x in r.gazette_words)
+    return f"""l AS (SELECT doc_id, act_slug, pos, {_strip("raw")} AS line FROM (SELECT doc_id, act_slug, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (
+        SELECT doc_id, act_slug, string_split(text, E'\n') AS a FROM documents WHERE text IS NOT NULL))),
+    m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, starts_with(line, '{r.amendment}') AS amends, ({word}) AS word,
+        line IN ({gazette}) AND NOT ({word}) AS gaz, regexp_matches(line, '^{D}+\.|^\({D}+\)') AS numbered FROM l WHERE line <> ''),
+    m2 AS (SELECT *, coalesce(max(CAST(amends AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM m),
+    st AS (SELECT *, min(CASE WHEN NOT amends AND (word OR gaz OR (numbered AND seen = 0) OR n > {r.front_lines}) THEN pos END) OVER (PARTITION BY doc_id) AS start_pos FROM m2),
+    body AS (SELECT doc_id, act_slug, pos, line, NOT (pos = start_pos AND gaz) AS free FROM st WHERE pos >= start_pos)"""
+
+
+def _parse_sql() -> str:
+    """The parser's islands in SQL, from lines to chunks."""
+    r = NEPALI
+    ws = lambda p: p.replace("\\s", WS)
+    annex, chapter, section, sub, clause = (ws(p) for p in (r.annex, r.chapter, r.section, r.subsection, r.clause))
+    w = "PARTITION BY doc_id ORDER BY pos"
+    held = lambda value, flag, over: f"max(CASE WHEN {flag} THEN {value} END) OVER (PARTITION BY doc_id, {over})"
+    isl = lambda flags: f"sum(CAST({flags} AS INT)) OVER ({w})"
+    ex = lambda p, g: f"regexp_extract(line, '{p}', {g})"
+    annex_no = f"CASE WHEN {ex(annex, 1)} = '' THEN 1 ELSE {_to_int(ex(annex, 1))} END"
+    has = lambda c: f"CASE WHEN {c} IS NOT NULL THEN"
+    return f"""WITH {_lines_sql()},
+    t1 AS (SELECT *, free AND regexp_matches(line, '{annex}') AS a FROM body),
+    t2 AS (SELECT *, free AND NOT a AND regexp_matches(line, '{chapter}') AS c FROM t1),
+    t3 AS (SELECT *, {isl("(a OR c)")} AS ch_island FROM t2),
+    t4 AS (SELECT *, free AND max(c) OVER (PARTITION BY doc_id, ch_island) AND NOT c AND NOT regexp_matches(line, '^{D}+\.') AS may FROM t3),
+    t5 AS (SELECT *, may AND sum(CAST(may AS INT)) OVER (PARTITION BY doc_id, ch_island ORDER BY pos) = 1 AS t FROM t4),
+    t6 AS (SELECT *, free AND NOT a AND NOT c AND NOT t AND regexp_matches(line, '{section}') AS s FROM t5),
+    t7 AS (SELECT *, free AND NOT a AND NOT c AND NOT t AND NOT s AND regexp_matches(line, '{sub}') AS u FROM t6),
+    t8 AS (SELECT *, free AND NOT a AND NOT c AND NOT t AND NOT s AND NOT u AND regexp_matches(line, '{clause}') AS k FROM t7),
+    t9 AS (SELECT *, {isl("(a OR c OR s)")} AS sec_island, {isl("(a OR c OR s OR u)")} AS sub_island, {isl("(a OR c OR s OR u OR k)")} AS block FROM t8),
+    h AS (SELECT *, {held(f"CASE WHEN a THEN {annex_no} ELSE {_to_int(ex(chapter, 1))} END", "a OR c", "ch_island")} AS ch, max(a) OVER (PARTITION BY doc_id, ch_island) AS annex,
+        {held(_to_int(ex(section, 1)), "s", "sec_island")} AS sec, {held(_strip(ex(section, 2)), "s", "sec_island")} AS sec_title, {held(_to_int(ex(sub, 1)), "u", "sub_island")} AS sub,
+        {held(f"CASE WHEN a THEN nullif({ex(annex, 2)}, '') ELSE {ex(clause, 1)} END", "a OR k", "block")} AS clause FROM t9),
+    b AS (SELECT doc_id, any_value(act_slug) AS slug, block, any_value(annex) AS annex, any_value(ch) AS ch, any_value(sec) AS sec, any_value(sec_title) AS title, any_value(sub) AS sub, any_value(clause) AS clause,
+        {_strip("string_agg(line, ' ' ORDER BY pos) FILTER (NOT c AND NOT t)")} AS x FROM h GROUP BY doc_id, block),
+    x1 AS (SELECT *, regexp_extract(x, '^{D}+\.{WS}*') AS pre FROM b WHERE x <> ''),
+    x2 AS (SELECT *, CASE WHEN coalesce(title, '') <> '' AND pre <> '' AND starts_with(substr(x, length(pre) + 1), title)
+        THEN {_strip(f"regexp_replace(substr(x, length(pre) + length(title) + 1), '^[:ः]?{WS}*', '')")} ELSE x END AS y FROM x1),
+    x3 AS (SELECT *, {has("sub")} regexp_replace(y, '^\({D}+\){WS}*', '') ELSE y END AS y1 FROM x2),
+    x4 AS (SELECT *, {has("clause")} regexp_replace(y1, '^\([{r.clause_class}]\){WS}*', '') ELSE y1 END AS y2 FROM x3),
+    x5 AS (SELECT *, CASE WHEN contains(y2, '{r.proviso}') THEN {_strip(f"string_split(y2, '{r.proviso}')[1]")} ELSE y2 END AS y3 FROM x4 WHERE {_strip("y2")} <> ''),
+    x6 AS (SELECT *, CASE WHEN contains(y3, '{r.explanation}') THEN {_strip(f"string_split(y3, '{r.explanation}')[1]")} ELSE y3 END AS text FROM x5)
+    SELECT CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS ord,
+      concat_ws('-', coalesce(slug, '') || '-None', CASE WHEN annex THEN 'anusuchi' || coalesce(CAST(ch AS VARCHAR), '') ELSE 'ch' || ch END, 'sec' || sec, 'sub' || sub, 'cl' || clause) AS id,
+      CASE WHEN annex AND sec IS NULL AND sub IS NULL AND clause IS NULL THEN 'anusuchi' ELSE CASE WHEN annex THEN 'anusuchi_' ELSE '' END ||
+        CASE WHEN clause IS NOT NULL THEN 'clause' WHEN sub IS NOT NULL THEN 'subsection' ELSE 'section' END END AS type,
+      coalesce(sec, -1) AS sec, clause, text, CAST(floor({_words("text")} * 1.5) AS INT) AS tokens FROM x6"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = "coalesce(text, '')"
     clean = f"regexp_replace({clean}, '(?i){NEPALI.site}', '', 'g')"
@@ -484,6 +538,8 @@ def oracle_sql() -> dict[str, str]:
               SELECT chunk_row_id, act_slug, i, whole[i] AS w, regexp_replace(val[i], '[()]|{WS}', '', 'g') AS v, {code.replace("CASE word", "CASE words[i]")} AS c FROM (
                 SELECT chunk_row_id, act_slug, regexp_extract_all(text, '{ref}', 0) AS whole, regexp_extract_all(text, '{ref}', 1) AS words, regexp_extract_all(text, '{ref}', 2) AS val FROM chunks),
               unnest(range(1, len(whole) + 1)) AS u(i))""",
+        "document_blocks": f"WITH {_lines_sql()} SELECT doc_id AS doc, count(*) AS n_lines, CAST(min(pos) AS INT) AS first_pos FROM body GROUP BY doc_id",
+        "parse_documents": _parse_sql(),
         "keyword_scores": f"SELECT chunk_row_id, {_score()} AS ner_score FROM chunks",
         "relevant_chunks": f"WITH passed AS (SELECT * FROM (SELECT chunk_row_id, text, {_score()} AS ner_score FROM chunks) WHERE ner_score >= 2) {groups}",
         "keyword_histogram": f"SELECT ner_score, count(*) AS n FROM (SELECT {_score()} AS ner_score FROM chunks) GROUP BY ALL",
