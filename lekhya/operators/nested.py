@@ -19,7 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,13 +155,16 @@ def payload_rows(root: int, payload: str | None) -> Iterator[tuple]:
 def payload_bridge(results: DataFrame) -> DataFrame:
     """Bridge rows of ``ner_results.payload``; damaged and null ones give none."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in BRIDGE.split(", ")]
-        for batch in batches:
-            rows = [r for root, text in zip(batch["result_id"], batch["payload"]) for r in payload_rows(root, text)]
-            yield pd.DataFrame(rows, columns=names)
+        for b in batches:
+            rows = [r for root, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in payload_rows(root, text)]
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return results.select("result_id", "payload").filter("payload IS NOT NULL").mapInPandas(walk, BRIDGE)
+    return results.select("result_id", "payload").filter("payload IS NOT NULL").mapInArrow(walk, BRIDGE)
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,12 @@ def test_chunk_bridge(spark):
     stored = {r.child_hash: r.n_occurrences for r in nested.objects(got.filter("child = 'refs'")).collect()}
     assert list(stored.values()) == [2]  # the same reference twice is stored once
     assert nested.chunk_bridge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_payload_bridge(spark):
+    whole = json.dumps(flows([{"amount_raw": "1"}]))
+    data = [(2**60 + 1, whole, "x"), (None, whole, None), (3, None, None), (4, whole[:-3], None), (5, whole, None), (5, whole, None)]
+    df = spark.createDataFrame(data, "result_id bigint, payload string, child string")
+    got = sorted((str(r.root_id), r.child) for r in nested.payload_bridge(df).filter("child = 'all_fees'").collect())
+    assert got == sorted([(str(2**60 + 1), "all_fees"), ("None", "all_fees"), ("5", "all_fees"), ("5", "all_fees")])
+    assert nested.payload_bridge(df.limit(0)).count() == 0
