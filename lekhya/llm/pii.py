@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -336,18 +337,19 @@ def parts_of(name_parts: DataFrame) -> Parts:
 def found(docs: DataFrame, parts: Parts) -> DataFrame:
     """(doc_id, line_no, kind), each once; null and empty texts give no row."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(parts)
         for b in batches:
             rows = [
                 (doc, n, kind)
-                for doc, text in zip(b["doc_id"], b["text"])
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                 for n, _, spans in find.lines(text)
                 for kind in dict.fromkeys(k for _, _, k in spans)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind"])
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "line_no", "kind"])
 
-    return docs.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").mapInPandas(scan, "doc_id bigint, line_no int, kind string")
+    return docs.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").mapInArrow(scan, "doc_id bigint, line_no int, kind string")
 
 
 def redact(docs: DataFrame, parts: Parts, text: str = "text", out: str = "redacted") -> DataFrame:

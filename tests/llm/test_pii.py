@@ -39,8 +39,8 @@ def test_redaction_changes_nothing_else():
 
 def test_operator(spark):
     parts = P.learn([*LATIN, *DEVA])
-    df = spark.createDataFrame([(1, "क\nफोन नं. 9093311825 र 9093311826", "x"), (2, None, None), (3, "", None), (4, "  \n\n", None)], "doc_id bigint, text string, kind string")
+    df = spark.createDataFrame([(1, "क\nफोन नं. 9093311825 र 9093311826", "x"), (2, None, None), (3, "", None), (4, "  \n\n", None), (2**60 + 1, "x", None), (None, "", None)], "doc_id bigint, text string, kind string")
     assert [tuple(r) for r in P.found(df, parts).collect()] == [(1, 2, "PHONE")]
     got = {r.doc_id: r.redacted for r in P.redact(df, parts).collect()}
-    assert got == {1: "क\nफोन नं. [PHONE] र [PHONE]", 2: None, 3: "", 4: "  \n\n"}
+    assert got == {1: "क\nफोन नं. [PHONE] र [PHONE]", 2: None, 3: "", 4: "  \n\n", 2**60 + 1: "x", None: ""}
     assert P.found(df.limit(0), parts).count() == 0 and P.Finder(P.learn([])).redact("Mr. Arlem Dorwali") == "Mr. Arlem Dorwali"
