@@ -187,11 +187,13 @@ def resolve_model(wanted: str | None, installed: list[str]) -> str | None:
     return (longer or installed or [None])[0]
 
 
-def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5, wait: Callable[[int], float] | None = None) -> DataFrame:
+def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5, wait: Callable[[int], float] | None = None,
+            delay: float = 0.0) -> DataFrame:
     """``chunks`` with ``answer``: what the extractor says to each text.
 
     Blank texts are not asked.  A failing call is tried again ``retries``
     times, with ``wait(attempt)`` seconds between; then the answer is null.
+    A task waits ``delay`` seconds after every call.
     """
 
     @F.pandas_udf("string")
@@ -201,7 +203,10 @@ def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5
         def one(text: str | None) -> str | None:
             for attempt in range(1, retries + 1):
                 try:
-                    return extractor(text)
+                    got = extractor(text)
+                    if delay:
+                        time.sleep(delay)
+                    return got
                 except Exception:  # noqa: BLE001 - any failure of a model is tried again
                     if attempt < retries and wait is not None:
                         time.sleep(wait(attempt))

@@ -22,12 +22,12 @@ def ranked(run: DataFrame, tie: str = "ord") -> DataFrame:
 
 def ideal(qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
     """(qid, n_rel, idcg_k...) per query of the judgements."""
+    # of the judgements only the best are put in order
     pos = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "docid"))
+    best = qrels.withColumn("_pos", pos).filter(F.col("_pos") <= max(k_values))
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("_pos") + 1)
-    return (
-        qrels.withColumn("_pos", pos).groupBy("qid")
-        .agg(F.sum((F.col("rel") > 0).cast("int")).alias("n_rel"), *[F.sum(F.when(F.col("_pos") <= k, gain).otherwise(0.0)).alias(f"idcg_{k}") for k in k_values])
-    )
+    gains = best.groupBy("qid").agg(*[F.sum(F.when(F.col("_pos") <= k, gain).otherwise(0.0)).alias(f"idcg_{k}") for k in k_values])
+    return qrels.groupBy("qid").agg(F.sum((F.col("rel") > 0).cast("int")).alias("n_rel")).join(gains, "qid")
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lekhya.functions.text import alternation, contains_any
 from lekhya.rules import NEPALI, RulePack
 
+#: Width of a bucket of the order of chunks.
+BUCKET = 65_536
+
 
 def eligible(text: Column, kind: Column, title: Column, rules: RulePack = NEPALI) -> Column:
     """Long enough, not of a skipped type, not under a skipped title."""
@@ -68,20 +72,36 @@ def context_windows(chunks: DataFrame, size: int = 3, partition: str = "act_slug
     Only the section number is compared, within one act; a chunk without a
     section stays alone.  The merged chunk has the id, type and hierarchy of
     its first, the texts joined by a blank line, and the ids of all in
-    ``merged_ids`` (null for a single chunk).
-    """
-    from pyspark.sql import Window as W
+    ``merged_ids`` (null for a single chunk).  ``order`` is an integer.
 
+    The order is cut into buckets, and what a bucket must know of those before
+    it (their number of rows, the last section, the last beginning of a run)
+    is carried over, so an act that holds most chunks is many small windows.
+    """
     if size <= 1:
         return chunks.withColumn("merged_ids", F.lit(None).cast("array<string>"))
-    w = W.partitionBy(partition).orderBy(order)
+    keys = [partition, "_b"]
+    inside, over = W.partitionBy(*keys).orderBy(order), W.partitionBy(partition).orderBy("_b")
+    before = over.rowsBetween(W.unboundedPreceding, -1)
     sec = F.col("hierarchy.sec")
-    marked = chunks.withColumn("_break", F.coalesce((sec != F.lag(sec).over(w)).cast("int"), F.lit(1)))
-    marked = marked.withColumn("_island", F.sum("_break").over(w))
-    inside = W.partitionBy(partition, "_island").orderBy(order)
-    marked = marked.withColumn("_at", F.row_number().over(inside) - 1)
-    # at most ``size`` rows from the first of each window on
-    ahead = W.partitionBy(partition, "_island", F.floor(F.col("_at") / size)).orderBy(order).rowsBetween(0, size - 1)
-    got = marked.withColumn("_texts", F.collect_list(F.coalesce("text", F.lit(""))).over(ahead)).withColumn("_ids", F.collect_list(F.coalesce("id", F.lit(""))).over(ahead))
-    merged = got.filter(F.col("_at") % size == 0).withColumn("text", F.when(F.size("_texts") > 1, F.array_join("_texts", "\n\n")).otherwise(F.col("text")))
-    return merged.withColumn("merged_ids", F.when(F.size("_ids") > 1, F.col("_ids"))).drop("_break", "_island", "_at", "_texts", "_ids")
+    t = chunks.withColumn("_b", F.floor(F.col(order) / BUCKET))
+    t = t.withColumn("_n", F.row_number().over(inside)).withColumn("_prev", F.lag(sec).over(inside))
+    sums = t.groupBy(*keys).agg(F.count("*").alias("_rows"), F.max_by(F.struct(sec.alias("s")), order).alias("_last"))
+    carried = sums.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"), F.lag("_last").over(over)["s"].alias("_carried"))
+    t = t.join(carried, keys).withColumn("_at", F.col("_offset") + F.col("_n"))
+    begins = F.coalesce(sec != F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_prev")), F.lit(True))
+    t = t.withColumn("_begin", F.when(begins, F.col("_at")))
+    runs = t.groupBy(*keys).agg(F.max("_begin").alias("_begun")).select(*keys, F.last("_begun", ignorenulls=True).over(before).alias("_begun"))
+    t = t.withColumn("_own", F.last("_begin", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))).join(runs, keys)
+    t = t.withColumn("_start", F.coalesce("_own", "_begun"))
+    t = t.withColumn("_window", F.col("_start") + F.floor((F.col("_at") - F.col("_start")) / size) * size)
+    rest = [c for c in chunks.columns if c not in (partition, "text")]
+    # at most ``size`` rows a group
+    parts = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("id", F.lit("")).alias("i"))))
+    got = t.groupBy(partition, "_window").agg(parts.alias("_parts"), F.min_by(F.struct("text", *rest), "_at").alias("_first"))
+    many = F.size("_parts") > 1
+    return got.select(
+        partition, *[F.col(f"_first.{c}").alias(c) for c in rest],
+        F.when(many, F.array_join(F.transform("_parts", lambda x: x["t"]), "\n\n")).otherwise(F.col("_first.text")).alias("text"),
+        F.when(many, F.transform("_parts", lambda x: x["i"])).alias("merged_ids"),
+    )

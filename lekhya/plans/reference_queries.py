@@ -450,7 +450,7 @@ def _lines_sql() -> str:
     r = NEPALI
     word = " OR ".join([f"starts_with(line, '{x}')" for x in r.starts] + [f"contains(line, '{x}')" for x in r.start_contains])
     gazette = ", ".join(f"'{x}'" for x in r.gazette_words)
-    return f"""l AS (SELECT doc_id, act_slug, pos, {_strip("raw")} AS line FROM (SELECT doc_id, act_slug, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (
+    return rf"""l AS (SELECT doc_id, act_slug, pos, {_strip("raw")} AS line FROM (SELECT doc_id, act_slug, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (
         SELECT doc_id, act_slug, string_split(text, E'\n') AS a FROM documents WHERE text IS NOT NULL))),
     m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, starts_with(line, '{r.amendment}') AS amends, ({word}) AS word,
         line IN ({gazette}) AND NOT ({word}) AS gaz, regexp_matches(line, '^{D}+\.|^\({D}+\)') AS numbered FROM l WHERE line <> ''),
@@ -470,7 +470,7 @@ def _parse_sql() -> str:
     ex = lambda p, g: f"regexp_extract(line, '{p}', {g})"
     annex_no = f"CASE WHEN {ex(annex, 1)} = '' THEN 1 ELSE {_to_int(ex(annex, 1))} END"
     has = lambda c: f"CASE WHEN {c} IS NOT NULL THEN"
-    return f"""WITH {_lines_sql()},
+    return rf"""WITH {_lines_sql()},
     t1 AS (SELECT *, free AND regexp_matches(line, '{annex}') AS a FROM body),
     t2 AS (SELECT *, free AND NOT a AND regexp_matches(line, '{chapter}') AS c FROM t1),
     t3 AS (SELECT *, {isl("(a OR c)")} AS ch_island FROM t2),

@@ -103,3 +103,24 @@ def test_windows(spark):
     assert [r.merged_ids or [r.id] for r in got] == [["0", "1", "2"], ["3"], ["4"], ["5"], ["6"], ["7", "8"]]
     assert got[0].text == "t0\n\nt1\n\nt2" and got[1].merged_ids is None
     assert relevance.context_windows(df, 1).count() == 9
+
+
+def test_windows_over_buckets(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    secs = [rnd.choice([1, 1, 1, 2, None]) for _ in range(300)]
+    rows = [(str(i), "ab"[i % 7 == 0], 3 * i, "section", (s, None), f"t{i}") for i, s in enumerate(secs)]
+    want = []
+    for act in "ab":
+        group = []
+        for r in [r for r in rows if r[1] == act]:
+            if group and r[4][0] is not None and r[4][0] == group[0][4][0] and len(group) < 3:
+                group.append(r)
+            else:
+                group = [r]
+                want.append(group)
+    for width in (1, 10, 100_000):
+        monkeypatch.setattr(relevance, "BUCKET", width)
+        got = relevance.context_windows(spark.createDataFrame(rows, CHUNK)).collect()
+        assert sorted((r.act_slug, r.ord, r.text) for r in got) == sorted((g[0][1], g[0][2], "\n\n".join(x[5] for x in g)) for g in want)
