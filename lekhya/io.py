@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, width: int = 65_536) -> DataFrame:
+    """``df`` with ``out``: the position, from 0, by the integer ``order`` within ``keys``.
+
+    Buckets of the order are counted first and numbered alone, so a key that
+    holds most rows is many small windows.
+    """
+    t = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    over = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = t.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
+    before = sums.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(over), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order))
+    return t.withColumn("_in", inside).join(before, [*keys, "_bucket"]).withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("int")).drop("_bucket", "_in", "_before")
+
+
 def small_rows(df: DataFrame, most: int) -> list:
     """All rows of a table that must be small; raises beyond ``most`` rows.
 

@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lekhya.functions.chunks import clause_ref
 from lekhya.functions.text import contains_any, strip, to_int, word_count
+from lekhya.io import numbered
 from lekhya.rules import NEPALI, RulePack
 
 TEXT_FIELDS = ("office", "price", "duration_days", "prerequisites")
@@ -310,5 +310,4 @@ def workflows(entities: DataFrame, group: str = "act_slug", order: str = "ord",
 def source_clauses(entities: DataFrame, group: str = "act_slug", order: str = "ord", rules: RulePack = NEPALI) -> DataFrame:
     """(act, task, position, chunk_id): what each workflow comes from, as rows."""
     e = entities.withColumn("task_name", task_name(F.col("clause_ref"), F.col("steps"), F.col("documents_required"), rules))
-    w = W.partitionBy(group, "task_name").orderBy(order)
-    return e.select(group, "task_name", (F.row_number().over(w) - 1).alias("position"), "chunk_id")
+    return numbered(e, [group, "task_name"], order, "position").select(group, "task_name", "position", "chunk_id")

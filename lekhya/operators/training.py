@@ -14,6 +14,8 @@ DEFINITION_TEMPLATES = ("{} भन्नाले के बुझिन्छ?"
 TITLE_TEMPLATES = ("{} सम्बन्धी व्यवस्था के छ?", "{} बारे कानूनले के भन्छ?")
 NEGATIVES = 5
 DEV_PERCENT = 5
+#: Rows of a ring, on average.
+RING = 100_000
 
 
 def _filled(templates: tuple[str, ...], value: Column) -> Column:
@@ -48,28 +50,30 @@ def negatives(chunks: DataFrame, seed: int = 0, n: int = NEGATIVES) -> DataFrame
 
     Half of them, at least, are hard: of the same act and chapter but another
     section; the rest come from other acts.  The choice follows hashes: the
-    chunks of a chapter stand on a ring in hash order and a chunk takes the
-    next ones of another section, so no pairs of a chapter are formed.
+    chunks of a chapter stand in hash order and a chunk takes the next ones of
+    another section, so no pairs of a chapter are formed.  The last ones of a
+    chapter, and chunks of a chapter of one section, have fewer or none.
     """
     keyed = chunks.select(
         "chunk_row_id", "act_slug", F.coalesce("hierarchy.ch", F.lit(-1)).alias("ch"), F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"),
         F.xxhash64(F.lit(seed), "chunk_row_id").alias("h"),
     )
     hard_n = (n + 1) // 2
-    look = 4 * n
 
-    def ring(part: list[str], order: list[str], other: Column, k: int, hard: bool) -> DataFrame:
-        w = W.partitionBy(*part).orderBy(*order)
-        ahead = F.collect_list(F.struct("chunk_row_id", "act_slug", "ch", "sec")).over(w.rowsBetween(1, look))
-        picked = keyed.withColumn("_next", ahead).withColumn("_pick", F.slice(F.filter("_next", lambda x: other_row(x, hard)), 1, k))
-        return picked.select("chunk_row_id", F.explode("_pick").alias("p")).select("chunk_row_id", F.col("p.chunk_row_id").alias("negative_id"), F.lit(hard).alias("hard"))
+    def salted(on: list[str]) -> DataFrame:
+        """Rows with ``ring``: large groups are cut into rows of about RING."""
+        sizes = keyed.groupBy(*on).agg(F.ceil(F.count("*") / RING).alias("rings"))
+        both = keyed.join(sizes, on) if on else keyed.join(F.broadcast(sizes))  # without keys it is one row
+        return both.withColumn("ring", F.pmod("h", "rings"))
 
-    def other_row(x: Column, hard: bool) -> Column:
-        return (x["sec"] != F.col("sec")) if hard else (x["act_slug"] != F.col("act_slug"))
+    def picked(on: list[str], k: int, hard: bool) -> DataFrame:
+        w = W.partitionBy(*on, "ring").orderBy("h", "chunk_row_id").rowsBetween(1, 4 * n)
+        ahead = salted(on).withColumn("_next", F.collect_list(F.struct("chunk_row_id", "act_slug", "sec")).over(w))
+        other = F.filter("_next", lambda x: x["sec"] != F.col("sec") if hard else x["act_slug"] != F.col("act_slug"))
+        rows = ahead.select("chunk_row_id", F.explode(F.slice(other, 1, k)).alias("p"))
+        return rows.select("chunk_row_id", F.col("p.chunk_row_id").alias("negative_id"), F.lit(hard).alias("hard"))
 
-    salted = ["bucket"]
-    keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(4096)))
-    return ring(["act_slug", "ch"], ["h"], F.lit(True), hard_n, True).unionByName(ring(salted, ["h"], F.lit(True), n - hard_n, False))
+    return picked(["act_slug", "ch"], hard_n, True).unionByName(picked([], n - hard_n, False))
 
 
 def split_of(key: Column, seed: int = 0, dev_percent: int = DEV_PERCENT) -> Column:
