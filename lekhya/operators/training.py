@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lekhya.functions.chunks import breadcrumb
+from lekhya.io import materialise
 from lekhya.rules import NEPALI, RulePack
 
 #: Queries of a definition and of a title; {} is the term or title.
@@ -14,8 +15,8 @@ DEFINITION_TEMPLATES = ("{} भन्नाले के बुझिन्छ?"
 TITLE_TEMPLATES = ("{} सम्बन्धी व्यवस्था के छ?", "{} बारे कानूनले के भन्छ?")
 NEGATIVES = 5
 DEV_PERCENT = 5
-#: Rows of a ring, on average.
-RING = 100_000
+#: Rows of a part of a section, on average, and the shards in which acts are counted.
+RING, SHARDS = 100_000, 1024
 
 
 def _filled(templates: tuple[str, ...], value: Column) -> Column:
@@ -45,35 +46,78 @@ def positive_text(hierarchy: Column, text: Column, rules: RulePack = NEPALI) ->
     return F.concat_ws(" | ", breadcrumb(hierarchy, rules), text)
 
 
+def _before(amount: str, keys: list[str], order: list[str]) -> Column:
+    """The sum of ``amount`` in the rows before this one."""
+    return F.coalesce(F.sum(amount).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def placed(chunks: DataFrame, seed: int = 0) -> DataFrame:
+    """(chunk_row_id, place, sec_0, sec_n, ch_0, ch_n, act_0, act_n, total).
+
+    One order of all chunks, from 0, in which acts, their chapters and the
+    sections of these are runs; ``x_0`` is the first place and ``x_n`` the size
+    of a chunk's own run.  Runs are counted first and only counts are summed;
+    large sections are numbered in parts of about RING rows.
+    """
+    act, ch, sec = ["act_slug"], ["act_slug", "ch"], ["act_slug", "ch", "sec"]
+    keyed = chunks.select(
+        "chunk_row_id", F.coalesce("act_slug", F.lit("")).alias("act_slug"), F.coalesce("hierarchy.ch", F.lit(-1)).alias("ch"),
+        F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"), F.xxhash64(F.lit(seed), "chunk_row_id").alias("h"),
+    )
+    # at most one of RING rows is a large section
+    large = keyed.groupBy(*sec).agg(F.ceil(F.count("*") / RING).alias("parts")).filter("parts > 1")
+    keyed = keyed.join(F.broadcast(large), sec, "left").withColumn("part", F.pmod("h", F.coalesce("parts", F.lit(1)))).drop("h", "parts")
+    parts = materialise(keyed.groupBy(*sec, "part").agg(F.count("*").alias("part_n")))
+    secs = parts.groupBy(*sec).agg(F.sum("part_n").alias("sec_n"))
+    chs = secs.groupBy(*ch).agg(F.sum("sec_n").alias("ch_n"))
+    acts = chs.groupBy(*act).agg(F.sum("ch_n").alias("act_n")).withColumn("shard", F.pmod(F.xxhash64("act_slug"), F.lit(SHARDS)))
+    shards = acts.groupBy("shard").agg(F.sum("act_n").alias("n")).withColumns({"shard_0": _before("n", [], ["shard"]), "total": F.sum("n").over(W.partitionBy())})
+    acts = acts.withColumn("in_shard", _before("act_n", ["shard"], act)).join(F.broadcast(shards.drop("n")), "shard").withColumn("act_0", F.col("shard_0") + F.col("in_shard"))
+    chs = chs.withColumn("in_act", _before("ch_n", act, ["ch"])).join(acts.select("act_slug", "act_0", "act_n", "total"), act).withColumn("ch_0", F.col("act_0") + F.col("in_act"))
+    secs = secs.withColumn("in_ch", _before("sec_n", ch, ["sec"])).join(chs, ch).withColumn("sec_0", F.col("ch_0") + F.col("in_ch"))
+    runs = parts.withColumn("in_sec", _before("part_n", sec, ["part"])).join(secs, sec)
+    inside = F.row_number().over(W.partitionBy(*sec, "part").orderBy("chunk_row_id")) - 1
+    place = F.col("sec_0") + F.col("in_sec") + F.col("_in")
+    return keyed.withColumn("_in", inside).join(runs, [*sec, "part"]).select("chunk_row_id", place.alias("place"), "sec_0", "sec_n", "ch_0", "ch_n", "act_0", "act_n", "total")
+
+
 def negatives(chunks: DataFrame, seed: int = 0, n: int = NEGATIVES) -> DataFrame:
-    """(chunk_row_id, negative_id, hard) for every chunk.
+    """(chunk_row_id, negative_id, hard) for every chunk: n, or all where fewer exist.
 
     Half of them, at least, are hard: of the same act and chapter but another
-    section; the rest come from other acts.  The choice follows hashes: the
-    chunks of a chapter stand in hash order and a chunk takes the next ones of
-    another section, so no pairs of a chapter are formed.  The last ones of a
-    chapter, and chunks of a chapter of one section, have fewer or none.
+    section; the rest come from other acts.  What a chapter has too few of is
+    filled from other acts, what these lack from other chapters of the act and
+    then by more hard ones.  The choice follows hashes: the candidates are the
+    places outside a run in the order of ``placed``, cut into as many pieces as
+    are wanted, and a hash picks a place in each; no pairs are formed.
     """
-    keyed = chunks.select(
-        "chunk_row_id", "act_slug", F.coalesce("hierarchy.ch", F.lit(-1)).alias("ch"), F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"),
-        F.xxhash64(F.lit(seed), "chunk_row_id").alias("h"),
+    rows = materialise(placed(chunks, seed))
+    zero, wanted = F.lit(0).cast("bigint"), F.lit(n).cast("bigint")
+    counted = (
+        rows.withColumn("_first", F.least(F.lit((n + 1) // 2).cast("bigint"), F.col("ch_n") - F.col("sec_n")))
+        .withColumn("_acts", F.least(wanted - F.col("_first"), F.col("total") - F.col("act_n")))
+        .withColumn("_chs", F.least(wanted - F.col("_first") - F.col("_acts"), F.col("act_n") - F.col("ch_n")))
+        .withColumn("_hard", F.least(wanted - F.col("_acts") - F.col("_chs"), F.col("ch_n") - F.col("sec_n")))
+    )
+
+    def picks(k: str, inner: str, start: Column, size: Column, hard: bool) -> Column:
+        """k places of the run of ``size`` rows at ``start`` that are not in the run ``inner``."""
+        count, free = F.col(k), size - F.col(f"{inner}_n")
+
+        def pick(j: Column) -> Column:
+            low, high = F.floor(j * free / count), F.floor((j + 1) * free / count)
+            at = low + F.pmod(F.xxhash64(F.lit(seed), F.lit(inner), "chunk_row_id", j), high - low)
+            after = F.col(f"{inner}_0") + F.col(f"{inner}_n") - start
+            return F.struct((start + F.pmod(after + at, size)).alias("place"), F.lit(hard).alias("hard"))
+
+        return F.when(count > 0, F.transform(F.sequence(zero, count - 1), pick)).otherwise(F.array().cast("array<struct<place:bigint,hard:boolean>>"))
+
+    wishes = F.concat(
+        picks("_hard", "sec", F.col("ch_0"), F.col("ch_n"), True), picks("_acts", "act", zero, F.col("total"), False),
+        picks("_chs", "ch", F.col("act_0"), F.col("act_n"), False),
     )
-    hard_n = (n + 1) // 2
-
-    def salted(on: list[str]) -> DataFrame:
-        """Rows with ``ring``: large groups are cut into rows of about RING."""
-        sizes = keyed.groupBy(*on).agg(F.ceil(F.count("*") / RING).alias("rings"))
-        both = keyed.join(sizes, on) if on else keyed.join(F.broadcast(sizes))  # without keys it is one row
-        return both.withColumn("ring", F.pmod("h", "rings"))
-
-    def picked(on: list[str], k: int, hard: bool) -> DataFrame:
-        w = W.partitionBy(*on, "ring").orderBy("h", "chunk_row_id").rowsBetween(1, 4 * n)
-        ahead = salted(on).withColumn("_next", F.collect_list(F.struct("chunk_row_id", "act_slug", "sec")).over(w))
-        other = F.filter("_next", lambda x: x["sec"] != F.col("sec") if hard else x["act_slug"] != F.col("act_slug"))
-        rows = ahead.select("chunk_row_id", F.explode(F.slice(other, 1, k)).alias("p"))
-        return rows.select("chunk_row_id", F.col("p.chunk_row_id").alias("negative_id"), F.lit(hard).alias("hard"))
-
-    return picked(["act_slug", "ch"], hard_n, True).unionByName(picked([], n - hard_n, False))
+    asked = counted.select("chunk_row_id", F.explode(wishes).alias("p")).select("chunk_row_id", "p.place", "p.hard")
+    return asked.join(rows.select("place", F.col("chunk_row_id").alias("negative_id")), "place").select("chunk_row_id", "negative_id", "hard")
 
 
 def split_of(key: Column, seed: int = 0, dev_percent: int = DEV_PERCENT) -> Column:

@@ -109,3 +109,35 @@ def test_training(spark):
         a, b = by[r.chunk_row_id], by[r.negative_id]
         assert a[2] == b[2] and a[3][2] != b[3][2]
     assert {r.split for r in training.triples(df).collect()} <= {"train", "dev"}
+
+
+CHUNK = "chunk_row_id bigint, id string, act_slug string, hierarchy struct<ch int, ch_title string, sec int, sec_title string, sub int, clause string>, text string, refs array<struct<type string, id string, text string>>"
+
+
+@pytest.mark.parametrize("ring", [100_000, 7])
+def test_negatives_are_all_there(spark, monkeypatch, ring):
+    """Every chunk has 5 negatives, or all that exist, 3 of them hard if there are."""
+    monkeypatch.setattr(training, "RING", ring)
+    # a section that dominates its chapter, a chapter of one section, one of few rows, no chapter, no act
+    places = [("a", 1, 1)] * 60 + [("a", 1, 2)] * 2 + [("a", 2, 3)] * 9 + [("b", 1, 1), ("b", 1, 2)] + [("c", None, i) for i in range(8)] + [(None, None, None)]
+
+    def check(places):
+        rows = [(i, f"id{i}", a, (c, None, s, "शीर्षक", None, None), f"text {i}", None) for i, (a, c, s) in enumerate(places)]
+        df = spark.createDataFrame(rows, CHUNK)
+        got = {i: [] for i in range(len(rows))}
+        for r in training.negatives(df).collect():
+            got[r.chunk_row_id].append((r.negative_id, r.hard))
+        for i, (act, ch, sec) in enumerate(places):
+            hard = {j for j, (a, c, s) in enumerate(places) if (a, c) == (act, ch) and s != sec}
+            acts = {j for j, (a, _, _) in enumerate(places) if a != act}
+            chs = {j for j, (a, c, _) in enumerate(places) if a == act and c != ch}
+            ids = [j for j, _ in got[i]]
+            assert len(ids) == len(set(ids)) == min(5, len(hard | acts | chs)), (i, ids)
+            assert {j for j, h in got[i] if h} <= hard and {j for j, h in got[i] if not h} <= acts | chs
+            assert sum(h for _, h in got[i]) >= min(3, len(hard)), (i, got[i])
+        want = [min(5, len(ids)) for _, ids in sorted(got.items())]
+        assert [r.n for r in training.triples(df).groupBy("meta.chunk_id").agg(F.max(F.size("neg")).alias("n")).orderBy(F.expr("int(substring(chunk_id, 3))")).collect()] == want
+
+    check(places)
+    check([("a", 1, 1)] * 30 + [("a", 1, 2)] * 4 + [("a", 2, 3)])
+    check([("a", 1, 1)] * 3 + [("a", 1, 2)])
