@@ -33,6 +33,9 @@ _FOREIGN = re.compile("[०-९０-９＠．]+")
 _SIX = re.compile(r"\d[\d\-/ .()]{4,}\d")
 #: A digit run with single separators, its plus, bracket or letters, its extension.
 _NUMBER = re.compile(r"(?<![\w/.])(?:\+|\(|[A-Z]{1,2}(?=\d))?\d(?:[\d\-/ .()]{5,20})\d(?:\s?(?:ext|x)\.?\s?\d{1,5})?(?![\w/])")
+#: Numbers of cards, plain or in groups; account numbers that start with a country and two check digits.
+_CARD = re.compile(r"[1-9](?<![\w/.+-].)(?:\d{12,18}|\d{3}([ -])(?:\d{4}\1){2,3}\d{1,4}|\d{3}([ -])\d{6}\2\d{5})(?![\w/]|[.-]\d)")
+_ACCOUNT = re.compile(r"[A-Z](?<![\w/.+-].)[A-Z]\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
 _EMAIL = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9_])?\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?| dot )[A-Za-z0-9-]+)+",
@@ -96,6 +99,12 @@ def mod97(digits: str) -> bool:
     return len(digits) > 2 and int(digits) % 97 == 1
 
 
+def account(text: str) -> bool:
+    """ISO 13616: the first four go to the end, letters are 10 to 35, mod 97 holds."""
+    bare = text.replace(" ", "")
+    return 15 <= len(bare) <= 34 and mod97("".join(str(int(c, 36)) for c in bare[4:] + bare[:4]))
+
+
 @dataclass(frozen=True)
 class Parts:
     """What the list of name parts tells: whole parts and their pieces."""
@@ -273,6 +282,25 @@ class Finder:
                 # grouped numbers without a word before: a check digit must hold
                 if re.fullmatch(r"\d{2}-\d{2}-\d{2}-\d{5}", bare) or (re.fullmatch(r"\d{3}-\d{3}-\d{3}-\d", bare) and luhn(digits)):
                     yield m.start(), m.end(), "ID"
+            elif re.fullmatch(r"\d{10,12}", text) and not PHONE_WORDS.search(before) and not OTHER_NUMBER_WORDS.search(before):
+                # plain numbers without a word before
+                if luhn(digits) if len(digits) == 10 else mod97(digits):
+                    yield m.start(), m.end(), "ID"
+
+    def checked(self, line: str) -> Iterator[tuple[int, int, str]]:
+        """Long numbers whose check digits hold, with or without a word before."""
+        for m in _CARD.finditer(line):
+            digits = re.sub(r"\D", "", m.group())
+            if 13 <= len(digits) <= 19 and (luhn(digits) or mod97(digits)) and not OTHER_NUMBER_WORDS.search(line[: m.start()]):
+                yield m.start(), m.end(), "ID"
+
+    def accounts(self, line: str) -> Iterator[tuple[int, int, str]]:
+        for m in _ACCOUNT.finditer(line):
+            # in groups the last may be the next word
+            for end in (m.end(), m.start() + m.group().rfind(" ")):
+                if end > m.start() and account(line[m.start() : end]):
+                    yield m.start(), end, "ID"
+                    break
 
     # -- all -----------------------------------------------------------------
 
@@ -295,7 +323,9 @@ class Finder:
 
         if "at" in hints:
             spans += [(m.start(), m.end(), "EMAIL") for m in _EMAIL.finditer(plain)]
+        spans += [x for x in self.accounts(plain) if free(x[0], x[1])]
         if _SIX.search(plain):
+            spans += [x for x in self.checked(plain) if free(x[0], x[1])]
             spans += [x for x in self.numbers(plain) if free(x[0], x[1])]
         for a, b, _ in self.names(plain):
             if free(a, b):

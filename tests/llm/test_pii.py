@@ -31,6 +31,18 @@ def test_checks():
     assert P.mod97("98") is False and P.mod97("1" + "0" * 5) == (100000 % 97 == 1)
 
 
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("पेश 4111111111111111 भएको", "पेश [ID] भएको"), ("card 4111 1111 1111 1111, seen", "card [ID], seen"), ("4111-1111-1111-1111", "[ID]"), ("3782 822463 10005.", "[ID]."), ("4111111111111112", None), ("invoice 4111111111111111", None),
+        ("to GB82 WEST 1234 5698 7654 32 of", "to [ID] of"), ("to GB82WEST12345698765432.", "to [ID]."), ("to GB83 WEST 1234 5698 7654 32", None), ("DE89 3704 0044 0532 0130 00 IS due", "[ID] IS due"), ("NO93 8601 1117 947", "[ID]"),
+        ("पेश 1439976422 भएको", "पेश [ID] भएको"), ("पेश 1439976423 भएको", None), ("पेश 12345678978 भएको", "पेश [ID] भएको"), ("पेश 12345678977 भएको", None), ("count 1439976422", None), ("९०९३३११८२५", "[PHONE]"),
+    ],
+)
+def test_check_digits(line, want):
+    assert F.redact(line) == (want or line)
+
+
 def test_redaction_changes_nothing_else():
     text = "निवेदक: सुललेम ठुङवाली - 9093311825\nकागजात a@b.example मा। घर नं. ५\n\nअन्त"
     assert F.redact(text) == "निवेदक: [NAME] - [PHONE]\nकागजात [EMAIL] मा। [ADDRESS]\n\nअन्त"
