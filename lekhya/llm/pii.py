@@ -36,12 +36,14 @@ _NUMBER = re.compile(r"(?<![\w/.])(?:\+|\(|[A-Z]{1,2}(?=\d))?\d(?:[\d\-/ .()]{5,
 #: Numbers of cards, plain or in groups; account numbers that start with a country and two check digits.
 _CARD = re.compile(r"[1-9](?<![\w/.+-].)(?:\d{12,18}|\d{3}([ -])(?:\d{4}\1){2,3}\d{1,4}|\d{3}([ -])\d{6}\2\d{5})(?![\w/]|[.-]\d)")
 _ACCOUNT = re.compile(r"[A-Z](?<![\w/.+-].)[A-Z]\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
+# a plain "at" also stands before places: no box or initials after it
 _EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9_])?\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?"
+    r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9_])?\s?(?:@|\(at\)|\[at\]|\{at\}| at (?!\s?P\.\s?O\b)(?=\s?(?:[A-Za-z0-9-]+(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?| dot ))+[A-Za-z]{2}))\s?"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?| dot )[A-Za-z0-9-]+)+",
     re.I,
 )
-_AT = ("@", "(at)", "[at]", "{at}", " dot ")
+#: What every match of _EMAIL holds, in lower case.
+_AT = re.compile(r"@|\(at\)|\[at\]|\{at\}| at \s?[a-z0-9-]+(?:\.| dot |\s?[(\[{]dot[)\]}])")
 
 # Words before a number that say what it is.
 ID_WORDS = re.compile(
@@ -67,9 +69,10 @@ _ADDRESS = [
     (re.compile(rf"\b\d+(?:/\d+)?,?\s+[A-Z][a-zA-Z]+\s+(?:{STREET_EN})\b", re.I), 1.0),
     (re.compile(rf"\b[A-Z][a-zA-Z]{{2,}}\s+(?:{STREET_EN})\b"), 0.5),
 ]
-_ADDRESS_HINTS = (
-    *STREET_NE.split("|"), "घर न", "पो.", "पोष्ट", "पोस्ट", "box", "p.o", "house", "flat", "apartment", "apt", "plot", *STREET_EN.lower().split("|"),
-)
+#: What every match of _ADDRESS holds, in lower case.
+_ADDRESS_HINTS = re.compile(
+    "|".join([STREET_NE, r"घर\s*न", r"पो(?:ष्ट|स्ट)?\s*\.?\s*ब", r"p\.?\s?o\.?\s?b", "house", "flat", "apartment", "apt", "plot", STREET_EN.lower()])
+)
 ADDRESS_WORDS = re.compile(r"निवासी|बस्ने|ठेगाना|मा पर्छ|वडा|address|living at|resid|ward|stands at|complaint of", re.I)
 TITLES = re.compile(r"(?:श्रीमती|सुश्री|श्री|डा\.|प्रा\.|इ\.|अधिवक्ता|\b(?:Mr|Mrs|Ms|Dr|Prof|Er|Adv)\.?)\s+$")
 NAME_WORDS = re.compile(
@@ -338,14 +341,14 @@ class Finder:
     def lines(self, text: str) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
         """(number from 1, line, spans) of every line."""
         plain = _FOREIGN.sub(lambda m: m.group().translate(_ASCII), text)
-        lines, low = plain.split("\n"), plain.lower()
+        lines, low = plain.split("\n"), plain.casefold()
         marks = {"at": _AT, "address": _ADDRESS_HINTS}
-        hints = {k for k, words in marks.items() if any(w in low for w in words)}
+        hints = {k for k, mark in marks.items() if mark.search(low)}
         for n, (line, p) in enumerate(zip(text.split("\n"), lines), 1):
             here = hints
             if hints and len(lines) > 1:
-                low = p.lower()
-                here = {k for k in hints if any(w in low for w in marks[k])}
+                low = p.casefold()
+                here = {k for k in hints if marks[k].search(low)}
             yield n, line, self.line(p, here)
 
     def redact(self, text: str) -> str:

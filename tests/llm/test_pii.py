@@ -43,6 +43,23 @@ def test_check_digits(line, want):
     assert F.redact(line) == (want or line)
 
 
+@pytest.mark.parametrize(
+    "line,kind",
+    [
+        ("write to toklem at example.com now", "EMAIL"), ("toklem at post dot example dot com", "EMAIL"), ("toklem at example(dot)com", "EMAIL"), ("toklem at  example [dot] com", "EMAIL"), ("Toklem AT Example.COM", "EMAIL"), ("toklem43 {at} example.net", "EMAIL"),
+        ("घरनं 5", "ADDRESS"), ("घर  नं. ५", "ADDRESS"), ("घर नम्बर 5", "ADDRESS"), ("पो ब नं 5", "ADDRESS"), ("पो.ब.नं. 5", "ADDRESS"), ("पोष्ट बक्स नं. 5", "ADDRESS"), ("पोस्टब 5", "ADDRESS"), ("PO B. 35", "ADDRESS"), ("P O Box 35", "ADDRESS"), ("p. o. b. no. 35", "ADDRESS"),
+    ],
+)
+def test_no_match_is_gated_away(line, kind):
+    plain = line.translate(P._ASCII)
+    assert P._EMAIL.search(plain) or any(p.search(plain) for p, _ in P._ADDRESS)
+    assert kind in kinds(line) and kind in kinds("क\n" + line)
+
+
+def test_places_are_no_mail():
+    assert kinds("living at P.O. Box 35, stands at P.O.Box 36") == {"ADDRESS"} and kinds("held at No. 5") == set()
+
+
 def test_redaction_changes_nothing_else():
     text = "निवेदक: सुललेम ठुङवाली - 9093311825\nकागजात a@b.example मा। घर नं. ५\n\nअन्त"
     assert F.redact(text) == "निवेदक: [NAME] - [PHONE]\nकागजात [EMAIL] मा। [ADDRESS]\n\nअन्त"
