@@ -208,7 +208,7 @@ class BKTree:
 
 
 class Matcher:
-    """Callable: name -> (slips, id); (None, None) where nothing is near.
+    """Callable: name -> (slips, id, rank of the form that hit); None for each where nothing is near.
 
     Exact keys and short forms first, then the tree.  A key counts if one slip
     of the pen leads to it; two ids at the same distance name no particular
@@ -224,28 +224,30 @@ class Matcher:
             if abbr and abbr.strip():
                 self.short.setdefault(short_key(abbr), set()).add(ident)
         self.tree = BKTree((k, i) for k, ids in self.exact.items() for i in ids)
-        self.memo: dict[str, tuple[int | None, int | None]] = {}
+        self.memo: dict[str, tuple[int | None, int | None, int | None]] = {}
 
-    def __call__(self, name: str) -> tuple[int | None, int | None]:
+    def __call__(self, name: str) -> tuple[int | None, int | None, int | None]:
         if name not in self.memo:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[name] = self._match(name)
         return self.memo[name]
 
-    def _match(self, name: str) -> tuple[int | None, int | None]:
+    def _match(self, name: str) -> tuple[int | None, int | None, int | None]:
         keys = forms(name)
-        for key in keys:
-            ids = self.exact.get(key) or self.short.get(key)
-            if ids:
-                return 0, next(iter(ids)) if len(ids) == 1 else UNKNOWN
-        for key in keys:
+        for rank, key in enumerate(keys):
+            # names go before abbreviations
+            for at, known in enumerate((self.exact, self.short)):
+                ids = known.get(key)
+                if ids:
+                    return 0, next(iter(ids)) if len(ids) == 1 else UNKNOWN, 2 * rank + at
+        for rank, key in enumerate(keys):
             if len(key) < 4:
                 continue
             near = {i for d, k, ids in self.tree.within(key, RADIUS) if one_slip(key, k) for i in ids}
             if near:
-                return 1, next(iter(near)) if len(near) == 1 else UNKNOWN
-        return None, None
+                return 1, next(iter(near)) if len(near) == 1 else UNKNOWN, 2 * rank
+        return None, None, None
 
 
 def _entries(reference: DataFrame) -> DataFrame:
@@ -274,7 +276,8 @@ def map_sharded(values: DataFrame, reference: DataFrame, column: str, shards: in
     """As ``map_small`` for lists of any size.
 
     Distinct names go to every shard, a shard's tree answers with its winner,
-    and the winners merge by distance; the answer joins back by name.
+    and the winners merge by distance, then by the rank of the form that hit;
+    the answer joins back by name.
     """
     names = values.select(F.col(column).alias("_name")).filter(F.trim("_name") != "").distinct()
     asked = names.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -284,17 +287,25 @@ def map_sharded(values: DataFrame, reference: DataFrame, column: str, shards: in
         text = right[["name", "name_en", "abbr"]].astype(object).where(lambda x: x.notna(), None)
         find = Matcher(list(zip(right["office_id"].astype(int), text["name"], text["name_en"], text["abbr"])))
         rows = [(n, *find(n)) for n in left["_name"]]
-        return pd.DataFrame([r for r in rows if r[1] is not None], columns=["_name", "_slips", out]).astype({"_slips": "int32", out: "int32"})
+        return pd.DataFrame([r for r in rows if r[1] is not None], columns=["_name", "_slips", out, "_rank"]).astype({"_slips": "int32", "_rank": "int32", out: "int32"})
 
-    won = asked.groupBy("_shard").cogroup(refs.groupBy("_shard")).applyInPandas(answer, f"_name string, _slips int, {out} int")
-    best = won.groupBy("_name", "_slips").agg(F.min(out).alias("_lo"), F.max(out).alias("_hi")).groupBy("_name").agg(
-        F.min_by(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.lit(UNKNOWN)), "_slips").alias(out)
+    won = asked.groupBy("_shard").cogroup(refs.groupBy("_shard")).applyInPandas(answer, f"_name string, _slips int, {out} int, _rank int")
+    best = won.groupBy("_name", "_slips", "_rank").agg(F.min(out).alias("_lo"), F.max(out).alias("_hi")).groupBy("_name").agg(
+        F.min_by(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.lit(UNKNOWN)), F.struct("_slips", "_rank")).alias(out)
     )
     kept = values.drop(out).join(best, values[column] == best["_name"], "left").drop("_name")
     named = F.col(column).isNotNull() & (F.trim(F.col(column)) != "")
     return kept.withColumn(out, F.when(named, F.coalesce(F.col(out), F.lit(UNKNOWN))))
 
 
+def map_any(values: DataFrame, reference: DataFrame, column: str, out: str = "office_id") -> DataFrame:
+    """``map_small`` where the list is small, else ``map_sharded``."""
+    n = _entries(reference).count()
+    if n <= SMALL_LIST:
+        return map_small(values, reference, column, out)
+    return map_sharded(values, reference, column, -(-n // SMALL_LIST), out)
+
+
 def office_values(entities: DataFrame, ner_outputs: DataFrame) -> DataFrame:
     """(src_table, src_id, name) of every office name that is not null or blank."""
     return (
@@ -306,7 +317,7 @@ def office_values(entities: DataFrame, ner_outputs: DataFrame) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = office_values(table(spark, sf_dir, "entities"), table(spark, sf_dir, "ner_outputs"))
-    return map_small(values, table(spark, sf_dir, "offices"), "name").filter("office_id IS NOT NULL")
+    return map_any(values, table(spark, sf_dir, "offices"), "name").filter("office_id IS NOT NULL")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

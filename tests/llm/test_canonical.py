@@ -56,3 +56,14 @@ def test_operators_agree(spark):
     sharded = {r.k: r.office_id for r in C.map_sharded(df, ref, "name", 3).collect()}
     assert small == sharded == {0: 1, 1: None, 2: None, 3: None, 4: 1, 5: -1, 6: 1, 7: 2}
     assert C.map_small(df.limit(0), ref, "name").count() == 0 and C.map_small(df, ref.limit(0), "name").filter("office_id = -1").count() == 5
+
+
+def test_large_lists_are_sharded_with_the_same_answers(spark, monkeypatch):
+    """Beyond SMALL_LIST shards answer; the full form goes before a stripped one in another shard."""
+    ref = spark.createDataFrame([*OFFICES, *((100 + i, f"{w} (गोलचौर)", None, None) for i, w in enumerate(["वन विभाग", "वन विभाग शाखा"]))], "office_id int, name string, name_en string, abbr string")
+    names = ["वन विभाग", "वन विभाग (गोलचौर)", "वन विभाग शाखा (गोलचौर)", "वन वभिाग", "नाम", None, " "]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    small = {r.k: r.office_id for r in C.map_any(df, ref, "name").collect()}
+    monkeypatch.setattr(C, "SMALL_LIST", 1)
+    assert {r.k: r.office_id for r in C.map_any(df, ref, "name").collect()} == small and small[1] == 100 and small[0] == 1
+    assert {r.k: r.office_id for r in C.map_sharded(df, ref, "name", 50).collect()} == small
