@@ -81,10 +81,30 @@ def test_mix(spark):
 
 def test_offsets_equal_brute_force(spark):
     rows = [(i, "a" if i % 2 else "b", i % 7 + 1) for i in range(200)]
-    got = mixing.offsets(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")).collect()
+    got = mixing.offsets(spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, source string, n_tokens bigint, buckets bigint")).collect()
     for s in "ab":
         part = sorted((r.start, r.n_tokens) for r in got if r.source == s)
         at = 0
         for start, n in part:
             assert start == at
             at += n
+
+
+def test_any_shares_have_a_short_period():
+    shares = {"a": 0.12345, "b": 0.23457, "c": 0.34567, "d": 0.29631}
+    rows, slots = mixing.plan([("m", s, x, 2) for s, x in shares.items()], dict.fromkeys(shares, 10**12))
+    period = rows[0][4]
+    assert period <= mixing.SLOTS and sorted(x[3] for x in slots) == list(range(period))
+    assert all(abs(w / period - shares[s]) <= 1 / mixing.SLOTS for _, s, _, w, *_ in rows)
+    many = {f"s{i}": 1e-9 if i else 1.0 for i in range(2000)}
+    weights = mixing.whole_weights(many)
+    assert min(weights.values()) >= 1 and sum(weights.values()) <= mixing.SLOTS_PER_SOURCE * 2000 + 2000
+    assert mixing.whole_weights({"x": 0.2, "y": 0.3, "z": 0.5}) == {"x": 2, "y": 3, "z": 5}
+
+
+def test_sized_counts_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "", "s"), (3, None, "s"), (4, "c", "t"), (5, "d", None)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    got = mixing.sized(docs, targets)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.n_tokens) for r in got.collect()] == [(1, 2)] and plan.count("ArrowEvalPython") == 1
