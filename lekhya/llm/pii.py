@@ -1,15 +1,16 @@
 """Personal information in free text, replaced by typed placeholders.
 
-Patterns propose spans, checks of the numbers (length, prefix, Luhn, ISO 7064
-mod 97) and the words around adjust their score, and spans of sufficient score
-become [EMAIL], [PHONE], [ID], [ADDRESS] or [NAME]; all other characters stay.
-Every document is worked on alone in the task that read it: no shuffle.
+Patterns propose spans, validators of the numbers (Luhn, ISO 7064 mod 97) and
+the words around adjust their score, and spans of sufficient score become
+[EMAIL], [PHONE], [ID], [ADDRESS] or [NAME]; all other characters stay.  Every
+document is worked on alone in the task that read it, in time linear in its
+length: a span is judged by a window of words around it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,10 @@ KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 MAX_PARTS = 100_000
 #: Score from which a proposed span is taken.
 ACCEPT = 1.0
+#: Characters before a span in which its words are looked for.
+NEAR = 80
+#: Scores of numbers: shapes of identity numbers, words before, check digits.
+SHAPE, ID_WORD, VALID, INVALID, OTHER_WORD = 0.5, 0.6, 0.6, -0.6, -0.6
 
 _ASCII = {0x966 + i: str(i) for i in range(10)} | {0xFF10 + i: str(i) for i in range(10)} | {0xFF20: "@", 0xFF0E: "."}
 #: Before these a token goes on, or it belongs to an address of mail.
@@ -84,6 +89,7 @@ NAME_AFTER = re.compile(r"(?:..)?\s*(?:को नाममा|ले दिए
 MIDDLES = {"कुमार", "बहादुर", "माया", "प्रसाद", "देवी", "कुमारी", "राज", "लाल", "kumar", "bahadur", "maya", "prasad", "devi", "kumari", "raj", "lal"}
 CASES = ("द्वारा", "बाट", "लाई", "सँग", "हरू", "को", "का", "की", "मा", "ले")
 _TOKEN = re.compile(r"[ऀ-ॿ‌‍]+|[A-Za-z]+(?:['’]s)?")
+_IN_TOKEN = re.compile(r"[ऀ-ॿ‌‍A-Za-z'’]")
 #: Ordinary sentence words that stand next to names but are no part of them.
 ORGANISATION = re.compile(r"^(?:विभाग|मन्त्रालय|बोर्ड|प्राधिकरण|कार्यालय|समिति|शाखा|बैंक|कम्पनी|कार्यक्रम|केन्द्र|आयोग|प्रवर्द्धन)|^(?:office|board|ministry|department|committee|bank|authority|company|branch|programme|program|road|street|marg|tole|chowk|lane)$", re.I)
 
@@ -209,7 +215,7 @@ class Finder:
                 continue
             a, b = m.span()
             begin = max(0, a - 60)
-            while begin > 0 and not line[begin].isspace():
+            while begin > 0 and _IN_TOKEN.match(line, begin - 1):  # not inside a word
                 begin -= 1
             tokens = [(t.start(), t.end(), t.group()) for t in _TOKEN.finditer(line, begin, min(len(line), b + 60))]
             k = next(i for i, t in enumerate(tokens) if t[0] == a)
@@ -239,7 +245,7 @@ class Finder:
                 # an ordinary or unknown word counts as a name where the rest is sure
                 score = s + (g if g else 0.2 * (s >= 0.9 or context > 0)) + context
                 best = max(best, (round(score, 3), hi - lo, lo, hi))  # the longer of equals
-            title = TITLES.search(line[:a])
+            title = TITLES.search(line, max(0, a - NEAR), a)
             if title and s >= 0.9 and best[0] < ACCEPT:
                 best = (1.2, b - a, a, b)
             if best[0] >= ACCEPT:
@@ -253,19 +259,40 @@ class Finder:
 
     # -- numbers -------------------------------------------------------------
 
+    @staticmethod
+    def identity(bare: str, digits: str) -> float:
+        """The score of a number as an identity number, by its shape and its check digits alone.
+
+        Runs and groups of card length have check digits that must hold; 10
+        digits in threes or plain may have Luhn's, plain 11 and 12 those of mod
+        97.  Where no scheme is known for a shape, words must speak for it.
+        """
+        if 13 <= len(digits) <= 19 and re.fullmatch(r"\d+|\d{4}(?:[ -]\d{1,4})+", bare):
+            return SHAPE + (VALID if luhn(digits) or mod97(digits) else INVALID)
+        if re.fullmatch(r"\d{2}-\d{2}-\d{2}-\d{5}", bare):
+            return SHAPE + VALID  # the one fixed format whose groups say what they are
+        if re.fullmatch(r"\d{3}-\d{3}-\d{3}-\d|\d{10}", bare):
+            return SHAPE + VALID * luhn(digits)
+        if re.fullmatch(r"\d{11,12}", bare):
+            return SHAPE + VALID * mod97(digits)
+        return SHAPE if 6 <= len(digits) <= 16 else 0.0
+
     def numbers(self, line: str) -> Iterator[tuple[int, int, str]]:
         for m in _NUMBER.finditer(line):
-            text, before = m.group(), line[: m.start()]
+            text, near = m.group(), (line, max(0, m.start() - NEAR), m.start())
             if text[0] == "(" and ")" not in text:
                 text = text[1:]
             bare = re.sub(r"\s?(?:ext|x)\.?.*$", "", text)
             digits = re.sub(r"\D", "", bare)
-            if ID_WORDS.search(before):
-                if 6 <= len(digits) <= 16:
-                    end = re.match(r"[A-Z]{0,2}\d[\d/-]*", text)
-                    if end and len(re.sub(r"\D", "", end.group())) >= 6:
+            if ID_WORDS.search(*near):
+                end = re.match(r"[A-Z]{0,2}\d[\d/-]*", text)
+                if end and len(digits) <= 16:
+                    bare = end.group().rstrip("/-")
+                    digits = re.sub(r"\D", "", bare)
+                    if self.identity(bare, digits) + ID_WORD >= ACCEPT:
                         yield m.start(), m.start() + end.end(), "ID"
                 continue
+            phone_word, other = PHONE_WORDS.search(*near), OTHER_NUMBER_WORDS.search(*near)
             score = 0.0
             if re.fullmatch(r"(?:\+|00)977[\s-]?\d[\d\s-]{6,13}", bare) and 10 <= len(digits) <= 15:
                 score = 1.2
@@ -273,31 +300,27 @@ class Finder:
                 score = 1.0
             elif re.fullmatch(r"0\d{1,2}-\d{6,7}|\(0\d{1,2}\)\s?-?\d{6,7}|0\d{1,2} \d{6,7}", bare):
                 score = 1.0
-            elif re.fullmatch(r"[\d\s().-]+", bare) and 7 <= len(digits) <= 12 and PHONE_WORDS.search(before):
+            elif re.fullmatch(r"[\d\s().-]+", bare) and 7 <= len(digits) <= 12 and phone_word:
                 score = 0.9
-            if PHONE_WORDS.search(before):
+            if phone_word:
                 score += 0.4
-            if OTHER_NUMBER_WORDS.search(before):
-                score -= 0.6
+            if other:
+                score += OTHER_WORD
             if score >= ACCEPT:
                 yield m.end() - len(text), m.end(), "PHONE"
-            elif len(digits) in (9, 10, 11, 12) and re.fullmatch(r"[A-Z]{0,2}\d+", bare) is None and not OTHER_NUMBER_WORDS.search(before):
-                # grouped numbers without a word before: a check digit must hold
-                if re.fullmatch(r"\d{2}-\d{2}-\d{2}-\d{5}", bare) or (re.fullmatch(r"\d{3}-\d{3}-\d{3}-\d", bare) and luhn(digits)):
-                    yield m.start(), m.end(), "ID"
-            elif re.fullmatch(r"\d{10,12}", text) and not PHONE_WORDS.search(before) and not OTHER_NUMBER_WORDS.search(before):
-                # plain numbers without a word before
-                if luhn(digits) if len(digits) == 10 else mod97(digits):
-                    yield m.start(), m.end(), "ID"
+            elif len(digits) <= 12 and bare == text and not phone_word and self.identity(bare, digits) + OTHER_WORD * bool(other) >= ACCEPT:
+                yield m.start(), m.end(), "ID"
 
     def checked(self, line: str) -> Iterator[tuple[int, int, str]]:
-        """Long numbers whose check digits hold, with or without a word before."""
+        """Numbers of card length whose check digits hold, with or without a word before."""
         for m in _CARD.finditer(line):
             digits = re.sub(r"\D", "", m.group())
-            if 13 <= len(digits) <= 19 and (luhn(digits) or mod97(digits)) and not OTHER_NUMBER_WORDS.search(line[: m.start()]):
+            other = OTHER_NUMBER_WORDS.search(line, max(0, m.start() - NEAR), m.start())
+            if 13 <= len(digits) <= 19 and SHAPE + (VALID if luhn(digits) or mod97(digits) else INVALID) + OTHER_WORD * bool(other) >= ACCEPT:
                 yield m.start(), m.end(), "ID"
 
     def accounts(self, line: str) -> Iterator[tuple[int, int, str]]:
+        """Account numbers with a country: mod 97 must hold."""
         for m in _ACCOUNT.finditer(line):
             # in groups the last may be the next word
             for end in (m.end(), m.start() + m.group().rfind(" ")):
@@ -319,24 +342,28 @@ class Finder:
 
     def line(self, plain: str, hints: set[str]) -> list[tuple[int, int, str]]:
         """Disjoint spans, in order, of one line in ASCII digits; ``hints`` says what it may hold."""
-        spans: list[tuple[int, int, str]] = []
+        spans: list[tuple[int, int, str]] = []  # disjoint and in order
 
-        def free(a: int, b: int) -> bool:
-            return all(b <= x or y <= a for x, y, _ in spans)
+        def take(a: int, b: int, kind: str) -> None:
+            i = bisect(spans, (a,))
+            if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
+                spans.insert(i, (a, b, kind))
 
         if "at" in hints:
-            spans += [(m.start(), m.end(), "EMAIL") for m in _EMAIL.finditer(plain)]
-        spans += [x for x in self.accounts(plain) if free(x[0], x[1])]
+            for m in _EMAIL.finditer(plain):
+                take(m.start(), m.end(), "EMAIL")
+        for x in self.accounts(plain):
+            take(*x)
         if _SIX.search(plain):
-            spans += [x for x in self.checked(plain) if free(x[0], x[1])]
-            spans += [x for x in self.numbers(plain) if free(x[0], x[1])]
+            for x in self.checked(plain):
+                take(*x)
+            for x in self.numbers(plain):
+                take(*x)
         for a, b, _ in self.names(plain):
-            if free(a, b):
-                spans.append((a, b, "NAME"))
+            take(a, b, "NAME")
         for a, b, _ in self.addresses(plain) if "address" in hints else ():
-            if free(a, b):
-                spans.append((a, b, "ADDRESS"))
-        return sorted(spans)
+            take(a, b, "ADDRESS")
+        return spans
 
     def lines(self, text: str) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
         """(number from 1, line, spans) of every line."""
