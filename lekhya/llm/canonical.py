@@ -2,10 +2,15 @@
 
 Every spelling of an entry (name, translation, order of kind and place, short
 form) is a key of a BK-tree under the Levenshtein metric; the triangle
-inequality prunes the search, which returns every key within the radius.  A
-small list is one tree held by every worker, so mapping needs no shuffle; a
-large one is cut into shards, every shard answers every distinct name, and the
-shard winners are merged by distance.
+inequality prunes the search, which returns every key within the radius.  Each
+form of a name (as written, then with less and less around it) asks the tree;
+the entry of the fewest slips wins, then that of the fuller form.
+
+Distinct names are counted on the map side and matched once.  A small list is
+one tree held by every worker; a large one is cut into shards, every shard
+answers every bucket of names, and the shard winners are merged.  The answers
+join back by name; names that hold a thousandth of all rows or more, so at most
+a thousand, are broadcast and their rows never shuffled.
 """
 
 from __future__ import annotations
@@ -16,18 +21,23 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.io import small_rows, table
+from lekhya.io import materialise, small_rows, table
 from lekhya.llm.visual import INVISIBLE, JOINERS, LATIN_OF, SPACES, unify
 
 #: A reference list up to this many entries is one tree in every worker.
 SMALL_LIST = 20_000
 #: Edits within which a key is a candidate: a swap of neighbours is two.
 RADIUS = 2
+#: Two slips count in keys this long, if so many characters lie from the first to the last.
+TWO_SLIPS, APART = 16, 9
 UNKNOWN = -1
-MEMO = 200_000
+#: Names of a bucket that meets a shard, on average.
+BUCKET_NAMES = 50_000
+#: A name with this part of all rows is hot.
+HOT_PART = 1000
 
 # Words around an office's name, and short forms of its words.
 HONORIFICS = ("श्री", "the")
@@ -172,6 +182,23 @@ def one_slip(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and len(x) > 1 and x[2:] == y[2:])
 
 
+def slips(a: str, b: str, distance: int) -> int | None:
+    """Slips of the pen between keys of that distance: 0, 1, 2 or None for no match.
+
+    Two must lie apart in long keys, as they do by accident; two side by side
+    make another name, of another place for instance.
+    """
+    if distance < 2:
+        return distance if distance == 0 or min(len(a), len(b)) > 3 else None
+    if one_slip(a, b):
+        return 1 if min(len(a), len(b)) > 3 else None
+    if min(len(a), len(b)) < TWO_SLIPS:
+        return None
+    start = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), 0)
+    end = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), 0)
+    return 2 if max(len(a), len(b)) - start - end >= APART else None
+
+
 class BKTree:
     """Keys under a true metric; each key holds the ids that it names."""
 
@@ -208,102 +235,139 @@ class BKTree:
 
 
 class Matcher:
-    """Callable: name -> (slips, id, rank of the form that hit); None for each where nothing is near.
+    """The tree over all spellings of some entries, short forms among them.
 
-    Exact keys and short forms first, then the tree.  A key counts if one slip
-    of the pen leads to it; two ids at the same distance name no particular
-    entry.
+    ``within`` gives every entry within the threshold, ``winners`` the nearest.
+    Both are dicts id -> (slips, rank); the rank is that of the form that hit,
+    names before short forms.  Several winners name no particular entry.
     """
 
     def __init__(self, entries: list[tuple[int, str | None, str | None, str | None]]) -> None:
-        self.exact: dict[str, set[int]] = {}
-        self.short: dict[str, set[int]] = {}
+        self.tree, self.short = BKTree(), BKTree()
         for ident, name, name_en, abbr in entries:
-            for key in entry_keys(name, name_en):
-                self.exact.setdefault(key, set()).add(ident)
+            for key in dict.fromkeys(entry_keys(name, name_en)):
+                self.tree.add(key, ident)
             if abbr and abbr.strip():
-                self.short.setdefault(short_key(abbr), set()).add(ident)
-        self.tree = BKTree((k, i) for k, ids in self.exact.items() for i in ids)
-        self.memo: dict[str, tuple[int | None, int | None, int | None]] = {}
-
-    def __call__(self, name: str) -> tuple[int | None, int | None, int | None]:
-        if name not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[name] = self._match(name)
-        return self.memo[name]
-
-    def _match(self, name: str) -> tuple[int | None, int | None, int | None]:
-        keys = forms(name)
-        for rank, key in enumerate(keys):
-            # names go before abbreviations
-            for at, known in enumerate((self.exact, self.short)):
-                ids = known.get(key)
-                if ids:
-                    return 0, next(iter(ids)) if len(ids) == 1 else UNKNOWN, 2 * rank + at
+                self.short.add(short_key(abbr), ident)
+
+    def _ask(self, keys: list[str], radius: int, stop: bool) -> dict[int, tuple[int, int]]:
+        """The entries within ``radius`` of the forms; ``stop`` ends at the first form that hits."""
+        best: dict[int, tuple[int, int]] = {}
         for rank, key in enumerate(keys):
-            if len(key) < 4:
-                continue
-            near = {i for d, k, ids in self.tree.within(key, RADIUS) if one_slip(key, k) for i in ids}
-            if near:
-                return 1, next(iter(near)) if len(near) == 1 else UNKNOWN, 2 * rank
-        return None, None, None
+            # a slip in a short form is another short form
+            for at, (tree, r) in enumerate(((self.tree, radius), (self.short, 0))):
+                for d, known, ids in tree.within(key, r):
+                    n = slips(key, known, d)
+                    for i in ids if n is not None else ():
+                        best[i] = min(best.get(i, (9, 0)), (n, 2 * rank + at))
+                if best and stop:
+                    return best
+        return best
+
+    def within(self, name: str) -> dict[int, tuple[int, int]]:
+        return self._ask(forms(name), RADIUS, False)
+
+    def winners(self, name: str) -> dict[int, tuple[int, int]]:
+        keys = forms(name)
+        # what is written as in the list needs no wider search
+        got = self._ask(keys, 0, True) or self._ask(keys, RADIUS, False)
+        least = min(got.values(), default=None)
+        return {i: x for i, x in got.items() if x == least}
+
+    def __call__(self, name: str) -> int | None:
+        """The entry meant, -1 if several are as near, None if nothing is near."""
+        got = self.winners(name)
+        return None if not got else next(iter(got)) if len(got) == 1 else UNKNOWN
 
 
 def _entries(reference: DataFrame) -> DataFrame:
     return reference.select("office_id", "name", "name_en", "abbr").filter("office_id IS NOT NULL")
 
 
-def map_small(values: DataFrame, reference: DataFrame, column: str, out: str = "office_id") -> DataFrame:
-    """``values`` with the id meant by ``column``; one tree per worker, no shuffle.
+def _named(column: str) -> Column:
+    return F.col(column).rlike(r"\S")
+
+
+NEAR = "_name string, office_id int, slips int, rank int"
+
 
-    The list is checked to have at most SMALL_LIST rows.  Null and blank names
-    get null, names that fit no entry, or several, get -1.
+def _answers(names: Iterable[str], find: Matcher, every: bool) -> pd.DataFrame:
+    rows = [(n, i, *x) for n in names for i, x in (find.within(n) if every else find.winners(n)).items()]
+    return pd.DataFrame(rows, columns=["_name", "office_id", "slips", "rank"]).astype({"office_id": "int32", "slips": "int32", "rank": "int32"})
+
+
+def near_small(names: DataFrame, reference: DataFrame, every: bool = False) -> DataFrame:
+    """(_name, office_id, slips, rank) for distinct ``names(_name)``: the winners, or every entry within the threshold.
+
+    One tree per worker; the list is checked to have at most SMALL_LIST rows.
     """
     entries = [tuple(r) for r in small_rows(_entries(reference), SMALL_LIST)]
 
-    @F.pandas_udf("int")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Matcher(entries)
-        for s in batches:
-            got = [None if n is None or not n.strip() else find(n)[1] for n in s]
-            yield pd.Series([None if n is None or not n.strip() else UNKNOWN if g is None else g for n, g in zip(s, got)], dtype="Int32")
-
-    return values.withColumn(out, match(F.col(column)))
+        for b in batches:
+            yield _answers(b["_name"], find, every)
 
+    return names.select("_name").mapInPandas(run, NEAR)
 
-def map_sharded(values: DataFrame, reference: DataFrame, column: str, shards: int, out: str = "office_id") -> DataFrame:
-    """As ``map_small`` for lists of any size.
 
-    Distinct names go to every shard, a shard's tree answers with its winner,
-    and the winners merge by distance, then by the rank of the form that hit;
-    the answer joins back by name.
-    """
-    names = values.select(F.col(column).alias("_name")).filter(F.trim("_name") != "").distinct()
-    asked = names.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    refs = _entries(reference).withColumn("_shard", F.pmod(F.xxhash64("office_id"), F.lit(shards)).cast("int"))
+def near_sharded(names: DataFrame, reference: DataFrame, shards: int, buckets: int = 1, every: bool = False) -> DataFrame:
+    """As ``near_small`` for lists of any size: every bucket of names meets every shard of the list."""
+    asked = names.select(
+        "_name", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), F.pmod(F.xxhash64("_name"), F.lit(buckets)).cast("int").alias("_bucket")
+    )
+    refs = _entries(reference).select(
+        "*", F.pmod(F.xxhash64("office_id"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket")
+    )
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         text = right[["name", "name_en", "abbr"]].astype(object).where(lambda x: x.notna(), None)
         find = Matcher(list(zip(right["office_id"].astype(int), text["name"], text["name_en"], text["abbr"])))
-        rows = [(n, *find(n)) for n in left["_name"]]
-        return pd.DataFrame([r for r in rows if r[1] is not None], columns=["_name", "_slips", out, "_rank"]).astype({"_slips": "int32", "_rank": "int32", out: "int32"})
+        return _answers(left["_name"], find, every)
 
-    won = asked.groupBy("_shard").cogroup(refs.groupBy("_shard")).applyInPandas(answer, f"_name string, _slips int, {out} int, _rank int")
-    best = won.groupBy("_name", "_slips", "_rank").agg(F.min(out).alias("_lo"), F.max(out).alias("_hi")).groupBy("_name").agg(
-        F.min_by(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.lit(UNKNOWN)), F.struct("_slips", "_rank")).alias(out)
-    )
-    kept = values.drop(out).join(best, values[column] == best["_name"], "left").drop("_name")
-    named = F.col(column).isNotNull() & (F.trim(F.col(column)) != "")
-    return kept.withColumn(out, F.when(named, F.coalesce(F.col(out), F.lit(UNKNOWN))))
+    keys = ["_shard", "_bucket"]
+    return asked.groupBy(*keys).cogroup(refs.groupBy(*keys)).applyInPandas(answer, NEAR)
 
 
-def map_any(values: DataFrame, reference: DataFrame, column: str, out: str = "office_id") -> DataFrame:
-    """``map_small`` where the list is small, else ``map_sharded``."""
+def merged(near: DataFrame, out: str) -> DataFrame:
+    """(_name, out): the winner among the winners of all shards, -1 if several are as near."""
+    alike = near.groupBy("_name", "slips", "rank").agg(F.min("office_id").alias("_lo"), F.max("office_id").alias("_hi"))
+    one = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.lit(UNKNOWN))
+    return alike.groupBy("_name").agg(F.min_by(one, F.struct("slips", "rank")).alias(out))
+
+
+def near(names: DataFrame, reference: DataFrame, n_names: int, every: bool = False) -> DataFrame:
+    """``near_small`` where the list is small, else ``near_sharded``."""
     n = _entries(reference).count()
     if n <= SMALL_LIST:
-        return map_small(values, reference, column, out)
-    return map_sharded(values, reference, column, -(-n // SMALL_LIST), out)
+        # each distinct name is work for the tree, so few rows still fill the cores
+        tasks = names.sparkSession.sparkContext.defaultParallelism
+        return near_small(names.repartition(max(tasks, n_names // BUCKET_NAMES + 1), "_name"), reference, every)
+    return near_sharded(names, reference, -(-n // SMALL_LIST), n_names // BUCKET_NAMES + 1, every)
+
+
+def counted_names(values: DataFrame, column: str) -> DataFrame:
+    """(_name, _n) of the distinct names that are not null or blank."""
+    return values.filter(_named(column)).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("_n"))
+
+
+def map_names(values: DataFrame, reference: DataFrame, column: str, out: str = "office_id") -> DataFrame:
+    """``values`` with the id meant by ``column``; an existing column ``out`` is replaced.
+
+    Null and blank names get null, names that fit no entry, or several, get -1.
+    Equal names get equal ids; ties of distance and form are -1.
+    """
+    names = materialise(counted_names(values, column))
+    n_names, total = names.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).collect()[0]
+    answers = merged(near(names, reference, n_names), "_id")
+    known = materialise(names.join(answers, "_name", "left").select("_name", (F.col("_n") * HOT_PART >= total).alias("_hot"), F.coalesce("_id", F.lit(UNKNOWN)).alias("_id")))
+    rows = values.drop(out) if out != column else values
+    hot, rest = (known.filter(c).select("_name", "_id") for c in ("_hot", "NOT _hot"))
+    kept = rows.join(F.broadcast(hot), F.col(column) == F.col("_name"), "left").withColumnRenamed("_id", "_hot_id").drop("_name")
+    cold = kept.filter(F.col("_hot_id").isNull() & _named(column)).join(rest, F.col(column) == F.col("_name")).drop("_name", "_hot_id")
+    blank = ~F.coalesce(_named(column), F.lit(False))
+    done = kept.filter(F.col("_hot_id").isNotNull() | blank).withColumnRenamed("_hot_id", "_id")
+    return done.select(*rows.columns, F.col("_id").alias(out)).unionByName(cold.select(*rows.columns, F.col("_id").alias(out)))
 
 
 def office_values(entities: DataFrame, ner_outputs: DataFrame) -> DataFrame:
@@ -315,9 +379,12 @@ def office_values(entities: DataFrame, ner_outputs: DataFrame) -> DataFrame:
     )
 
 
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office_values(table(spark, sf_dir, "entities"), table(spark, sf_dir, "ner_outputs"))
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = office_values(table(spark, sf_dir, "entities"), table(spark, sf_dir, "ner_outputs"))
-    return map_any(values, table(spark, sf_dir, "offices"), "name").filter("office_id IS NOT NULL")
+    return map_names(_values(spark, sf_dir), table(spark, sf_dir, "offices"), "name")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,3 +395,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are not on the list, with how often they occur."""
     return _mapped(spark, sf_dir).filter(F.col("office_id") == UNKNOWN).groupBy("src_table", "name").agg(F.count("*").alias("n_values"))
+
+
+def p1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every office within the threshold of each distinct name, with its slips and the rank of the form that hit."""
+    names = materialise(counted_names(_values(spark, sf_dir), "name"))
+    return near(names, table(spark, sf_dir, "offices"), names.count(), every=True).withColumnRenamed("_name", "name")

@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": canonical.p1_found,
         "p1_unmatched": canonical.p1_unmatched,
+        "p1_candidates": canonical.p1_candidates,
         "p4_found": scans.p4_found,
         "p4_corrections": scans.p4_corrections,
         "p4_repaired": scans.p4_repaired,
