@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.functions.quantity import DIMENSIONS, Grammar, whole
+from lekhya.functions.quantity import Grammar, whole
 from lekhya.io import small_rows, table
 
 #: The units table is a fixed list; beyond this it is not one any more.
@@ -21,19 +21,21 @@ MAX_UNITS = 10_000
 MEMO = 200_000
 
 
-def units_of(units: DataFrame) -> list[tuple[str, str, float]]:
-    """Rows (code, dimension, factor) without nulls, checked to be few."""
-    rows = small_rows(units.select("code", "dimension", F.col("factor").cast("double")).dropna(), MAX_UNITS)
-    return [(r[0], r[1], r[2]) for r in rows]
+def units_of(units: DataFrame) -> list[tuple]:
+    """Rows (code, dimension, factor[, offset]) without nulls, checked to be few."""
+    more = [F.coalesce(F.col("offset").cast("double"), F.lit(0.0)).alias("offset")] if "offset" in units.columns else []
+    rows = small_rows(units.select("code", "dimension", F.col("factor").cast("double"), *more).dropna(), MAX_UNITS)
+    return [tuple(r) for r in rows]
 
 
-def quantity_udf(units: list[tuple[str, str, float]]):
-    """Column function (text, bare unit) -> struct<dims array<int>, amount bigint>.
+def quantity_udf(units: list[tuple]):
+    """Column function (text, bare unit) -> struct<dimension, exponents array<int>, amount bigint>.
 
-    The struct is null where the text states no single definite quantity.
+    The struct is null where the text states no single definite quantity.  It
+    counts as nondeterministic, so that a filter on it does not repeat it.
     """
 
-    @F.pandas_udf("dims array<int>, amount bigint")
+    @F.pandas_udf("dimension string, exponents array<int>, amount bigint")
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         grammar, memo = Grammar(units), {}
         for text, bare in batches:
@@ -43,28 +45,26 @@ def quantity_udf(units: list[tuple[str, str, float]]):
                     if len(memo) >= MEMO:
                         memo.clear()
                     got = grammar.parse(key[0], key[1])
-                    memo[key] = (None, None) if got is None else (list(got[0]), whole(got[1]))
+                    n = None if got is None else whole(got[1])
+                    memo[key] = (None, None, None) if n is None or abs(n) >= 2**63 else (grammar.dimension(got[0]), list(got[0]), n)
                 out.append(memo[key])
-            yield pd.DataFrame(out, columns=["dims", "amount"], dtype=object).astype({"amount": "Int64"})
+            yield pd.DataFrame(out, columns=["dimension", "exponents", "amount"], dtype=object).astype({"amount": "Int64"})
 
-    return parse
+    return parse.asNondeterministic()
 
 
 def normalise(df: DataFrame, units: DataFrame, text: str, dimension: str, bare: str, out: str = "amount") -> DataFrame:
     """``df`` with the whole amount of column ``text``, for rows that state one.
 
     ``dimension`` and ``bare`` are columns: the dimension the field must have
-    (rows of any other are no cases) and the unit of a number without a unit
-    (null: such numbers are no cases).  Null, blank and unparsable texts give
-    no row; equal rows give equal rows; other columns are kept, an existing
-    column ``out`` is replaced.
+    ("money", "money/time", "length^2"; rows of any other are no cases) and the
+    unit of a number without a unit (null: such numbers are no cases).  Null,
+    blank and unparsable texts, and amounts beyond 64 bits, give no row; equal
+    rows give equal rows; other columns are kept, an existing column ``out`` is
+    replaced.
     """
-    wanted = F.element_at(
-        F.create_map(*[x for i, d in enumerate(DIMENSIONS) for x in (F.lit(d), F.array(*[F.lit(int(i == j)) for j in range(len(DIMENSIONS))]))]),
-        F.col(dimension),
-    )
     got = df.filter(F.col(text).isNotNull()).withColumn("_q", quantity_udf(units_of(units))(F.col(text), F.col(bare)))
-    return got.filter(F.col("_q.amount").isNotNull() & (F.col("_q.dims") == wanted)).withColumn(out, F.col("_q.amount")).drop("_q")
+    return got.filter(F.col("_q.amount").isNotNull() & (F.col("_q.dimension") == F.col(dimension))).withColumn(out, F.col("_q.amount")).drop("_q")
 
 
 def quantity_values(entities: DataFrame, ner_outputs: DataFrame) -> DataFrame:

@@ -57,6 +57,38 @@ def test_number_words(n, scale):
     assert G.parse(f"{NEPALI_NUMBERS[n]} {scale} रुपैयाँ") == ((1, 0), Fraction(n * factor))
 
 
+MORE = Grammar([*UNITS, ("m", "length", 1.0, 0.0), ("km", "length", 1000.0), ("kg", "mass", 1.0), ("acre", "length^2", 4046.8564), ("celsius", "temperature", 1.0, 273.15), ("knot", "length/time", 44448.0)])
+
+
+@pytest.mark.parametrize(
+    "text,dimension,amount",
+    [
+        ("Rs. 500 per day", "money/time", 500), ("रु. ७०० प्रति हप्ता", "money/time", 100), ("500 rupees / hour", "money/time", 12000), ("रु. ५०० प्रति निवेदन", "money", 500), ("3 sq km", "length^2", 3_000_000), ("20 m^2", "length^2", 20),
+        ("20 m² ", "length^2", 20), ("2 acre", "length^2", 8094), ("5 cubic m", "length^3", 5), ("12 km/hour", "length/time", 288_000), ("2 knot", "length/time", 88_896), ("10 m^-1", "1/length", 10), ("27 celsius", "temperature", 300),
+        ("6 kg*m", "length*mass", 6), ("4 kg-day", "time*mass", 4), ("10 celsius per day", "temperature/time", 10), ("9 kg per m^2", "mass/length^2", 9), ("Rs. 500 payable to the office", "money", 500), ("Pay to the desk Rs. 20 or nothing", "money", 20),
+    ],
+)
+def test_products_quotients_powers_offsets(text, dimension, amount):
+    vector, got = MORE.parse(text)
+    assert (MORE.dimension(vector), whole(got)) == (dimension, amount)
+
+
+@pytest.mark.parametrize("text", ["Rs. 5 to 7", "Rs. 500 or Rs. 600", "between Rs. 5 and Rs. 6", "५ देखि ७ दिन", "5 m 3 kg", "2 celsius 3 celsius"])
+def test_no_definite_quantity(text):
+    assert MORE.parse(text) is None
+
+
+def test_vectors_form_a_group():
+    u, v = MORE.unit["km"], MORE.unit["day"]
+    assert (u / v) * v == u and u**2 / u == u and (u * v).vector == tuple(a + b for a, b in zip(u.vector, v.vector)) and u**-1 * u == MORE.one
+
+
+def test_the_parser_runs_once(spark):
+    table = spark.createDataFrame(UNITS, "code string, dimension string, factor double")
+    df = spark.createDataFrame([(1, "7", "time", "दिन")], "k int, text string, dimension string, bare string")
+    assert units.normalise(df, table, "text", "dimension", "bare")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_normalise(spark):
     table = spark.createDataFrame([*UNITS, (None, None, None)], "code string, dimension string, factor double")
     rows = [(1, "रु. ५००", "money", None, "x"), (1, "रु. ५००", "money", None, "x"), (2, None, "money", None, None), (3, "३ दिन", "money", None, ""), (4, "7", "time", "दिन", None)]
