@@ -72,7 +72,10 @@ SELECT 'all_fees', result_id, CAST(pos1 AS INT), CAST(pos2 AS INT) FROM fees WHE
 def queries() -> dict[str, Query]:
     return {
         "p2_found": nested.p2_found,
+        "p2_bridge": nested.p2_bridge,
         "p2_objects": nested.p2_objects,
+        "p2_levels": nested.p2_levels,
+        "p2_fees": nested.p2_fees,
         "p2_refs": nested.p2_refs,
         "p3_found": orphans.p3_found,
         "p3_report": orphans.p3_report,
@@ -87,6 +90,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2,
         "p2_refs": """SELECT chunk_row_id, CAST(i - 1 AS INT) AS ref_pos, refs[i].type AS ref_type, refs[i].id AS ref_id, refs[i].text AS ref_text
             FROM chunks, unnest(range(1, len(refs) + 1)) AS u(i) WHERE refs[i] IS NOT NULL""",
+        "p2_levels": " UNION ALL ".join(
+            f"SELECT chunk_row_id, {i} AS level_pos, '{name}' AS level, CAST(hierarchy.{name} AS VARCHAR) AS level_no, {f'hierarchy.{title}' if title else 'NULL'} AS title FROM chunks WHERE hierarchy.{name} IS NOT NULL"
+            for i, (name, title) in enumerate(nested.LEVELS, 1)
+        ),
+        "p2_fees": f"""WITH {_FEES} SELECT result_id, CAST(pos1 AS INT) AS flow_pos, CAST(pos2 AS INT) AS fee_pos, fee->>'type' AS fee_type, fee->>'amount_raw' AS amount_raw,
+            fee->>'amount_npr' AS amount_npr FROM fees WHERE json_type(fee) <> 'NULL'""",
         "p3_found": f"WITH {_RUNS} SELECT src_table, src_id, CAST(ref_pos AS INT) AS ref_pos FROM all_refs WHERE NOT alive",
         "p3_report": f"""WITH {_RUNS} SELECT src_table, strftime(ref_at, '%Y-%m') AS month, CASE WHEN ever THEN 'dead' ELSE 'never' END AS reason, count(*) AS n_orphans
             FROM all_refs WHERE NOT alive GROUP BY ALL""",
