@@ -7,10 +7,11 @@ the merges over a slice of the vocabulary: an inverted index from token pair to
 the positions where it stands applies every merge in rank order and touches
 only the neighbours of what it merged.  Documents then look their words up.
 
-Documents are blocked; a block carries its own distinct words through the
-corpus-level dictionary and meets its part of it again by block, so neither a
-hot word nor the dictionary's size lands in one task, and nothing unbounded is
-broadcast.
+Documents are blocked by the bytes of their texts; a block carries its own
+distinct words through the corpus-level dictionary and meets its part of it
+again by block, so neither a hot word nor the dictionary's size lands in one
+task, and nothing unbounded is broadcast.  Equal rows are counted before they
+are moved.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from lekhya.io import materialise, table
 
 #: Ranks of the tokenizer: lines of base64 token and rank.
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Documents per block, on average.
-BLOCK_DOCS = 1000
+#: Text of a block and of a task, on average; beyond MAX_TASKS tasks these grow.
+BLOCK_BYTES, TASK_BYTES, MAX_TASKS = 1 << 20, 8 << 20, 100_000
 #: White space of Unicode, which the tokenizer's pattern means by \\s.
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
@@ -129,12 +130,30 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return [[x for p in ps for x in ids[p]] for ps in parts]
 
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts; they are not collected, only summed."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).collect()[0][0]
+
+
+def combined(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch (_block, _key, _text) with ``_n``, equal rows as one."""
+    n = pa.array(np.ones(b.num_rows, np.int32))
+    if len(b.column(1).unique()) < b.num_rows:
+        t = pa.Table.from_batches([b.append_column("_n", n)]).group_by(b.schema.names).aggregate([("_n", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in b.schema.names), t.column("_n_sum").combine_chunks().cast(pa.int32())], [*b.schema.names, "_n"])
+    return b.append_column("_n", n)
+
+
 def encode(docs: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS, blocks: int | None = None) -> DataFrame:
     """(key, ids) of every row; null and empty texts have an empty list.
 
-    Equal keys give a row each.  ``ranks_path`` must exist on every worker.
+    Equal rows give a row each.  ``ranks_path`` must exist on every worker.
+    ``blocks`` is the number of blocks, by default that of BLOCK_BYTES in all
+    texts; the tasks that move texts grow in number with the texts too.
     """
-    blocks = blocks or max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    size = text_bytes(docs, text)
+    blocks = blocks or size // BLOCK_BYTES + 1
+    tasks = min(MAX_TASKS, max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     block = F.pmod(F.xxhash64("_key", "_text"), F.lit(blocks)).cast("int")
 
@@ -146,6 +165,9 @@ def encode(docs: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS
             rows = [(blk, w) for blk, ws in by.items() for w in ws]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["_block", "word"])
 
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(combined, batches)
+
     full = src.filter("_text IS NOT NULL AND _text <> ''")
     uses = materialise(full.select(block.alias("_block"), "_text").mapInArrow(distinct_words, "_block int, word string").distinct())
 
@@ -178,11 +200,14 @@ def encode(docs: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS
             pieces.append(flat[begin + np.arange(total)])
         offsets = pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32())
         values = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32), pa.int32())
-        return pa.table({"_key": left.column("_key").cast(pa.int64()), "ids": pa.ListArray.from_arrays(offsets, values)})
+        return pa.table({"_key": left.column("_key").cast(pa.int64()), "_n": left.column("_n"), "ids": pa.ListArray.from_arrays(offsets, values)})
 
+    kind = docs.schema[key].dataType.simpleString()
+    texts = full.select(block.alias("_block"), "_key", "_text").mapInArrow(combine, f"_block int, _key {kind}, _text string, _n int")
     lists = (
-        full.select("_key", "_text", block.alias("_block")).groupBy("_block")
-        .cogroup(known.groupBy("_block")).applyInArrow(assemble, "_key bigint, ids array<int>")
+        texts.repartition(tasks, "_block").groupBy("_block")
+        .cogroup(known.repartition(tasks, "_block").groupBy("_block")).applyInArrow(assemble, "_key bigint, _n int, ids array<int>")
+        .withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("_key", "ids")
     )
     empty = src.filter("_text IS NULL OR _text = ''").select(F.col("_key").cast("bigint"), F.array().cast("array<int>").alias("ids"))
     return lists.unionByName(empty).withColumnRenamed("_key", key)
@@ -208,14 +233,9 @@ def token_counts(docs: DataFrame, key: str, text: str, ranks_path: str = DEFAULT
     return docs.withColumn("n_tokens", count(F.col(text))).select(key, "n_tokens")
 
 
-def _blocks(docs: DataFrame) -> int:
-    return max(1, round(docs.count() / BLOCK_DOCS))
-
-
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return encode(docs, "doc_id", "text", blocks=_blocks(docs))
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,12 @@ def test_sized_counts_each_text_once(spark):
     got = mixing.sized(docs, targets)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc_id, r.n_tokens) for r in got.collect()] == [(1, 2)] and plan.count("ArrowEvalPython") == 1
+
+
+def test_equal_rows_and_blocks_by_bytes(spark, monkeypatch, reference):
+    monkeypatch.setattr(T, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(T, "TASK_BYTES", 128)
+    rows = [(7, "नेपाल the act")] * 50 + [(7, "other")] * 2 + [(None, "x y"), (None, "x y"), (8, "long " * 500), (9, ""), (9, None), (9, None)]
+    got = T.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert "Exchange hashpartitioning(_block" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got.collect()) == sorted((str(k), reference(t) if t else []) for k, t in rows)
