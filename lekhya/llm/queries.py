@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "p4_repaired": scans.p4_repaired,
         "p5_found": visual.p5_found,
         "p5_unified": visual.p5_unified,
+        "p5_values": visual.p5_values,
         "p7_found": encoding.p7_found,
         "p7_restored": encoding.p7_restored,
         "p8_ids": tokens.p8_ids,
