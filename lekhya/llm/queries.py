@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "p1_candidates": canonical.p1_candidates,
         "p4_found": scans.p4_found,
         "p4_corrections": scans.p4_corrections,
+        "p4_confusions": scans.p4_confusions,
+        "p4_heads": scans.p4_heads,
         "p4_repaired": scans.p4_repaired,
         "p5_found": visual.p5_found,
         "p5_unified": visual.p5_unified,
