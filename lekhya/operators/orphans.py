@@ -5,15 +5,19 @@ start of the preceding contiguous run, with a report beyond the run's end:
 
 1. ``missing_keys``: the parents' integer keys per group are compressed into
    runs of consecutive numbers; a referenced number behind a run's end was
-   never there.
+   never there.  A key of text is the text before its last number and that
+   number, so numbered ids are runs as well.
 2. ``orphans``: a parent's life is a run of instants from its loading to its
    deletion, its start and end being microseconds as integers; a reference
    whose instant lies behind the end of the runs that began before it finds no
    living parent.
 
-Hot keys: both sides are reduced per key before they meet, and the as-of match
-in time works in buckets of a day with the last state of earlier days carried
-over, so no task holds all rows of a key.
+Hot keys: groups are cut into stretches of SPAN numbers.  Both sides of the
+match in time are reduced to distinct instants of a key before they meet, and
+the match works in buckets of a day with the last state of earlier days carried
+over.  A key of more than HOT_ROWS references is cut into tenths of a second
+below the day, which hold 100,000 instants at most, so that no window depends
+on the number of rows, were all of them loaded at once.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from lekhya.io import materialise, table
 
-#: Instants per bucket of the as-of match: one day of microseconds.
-BUCKET = 86_400_000_000
+#: Instants per bucket of the as-of match: one day of microseconds, and a tenth of a second for hot keys.
+DAY, TENTH = 86_400_000_000, 100_000
+#: Rows of a key from which it is hot, and numbers of a stretch of a group.
+HOT_ROWS, SPAN = 100_000, 65_536
 #: The end of a run that is still going on.
 OPEN = 2**62
 
@@ -58,38 +64,44 @@ def missing_keys(refs: DataFrame, runs: DataFrame, group: list[str], key: str) -
     return matched.filter(F.col("_end").isNull() | (F.col("_at") > F.col("_end"))).select(*group, F.col("_at").alias(key))
 
 
-def _bucket(col: Column) -> Column:
-    return F.floor(col / F.lit(BUCKET)).cast("bigint")
+def running_end(events: DataFrame, keys: list[str], widths: tuple[int, ...]) -> DataFrame:
+    """``events(keys, _at, _side, _end)`` with ``_end``: the greatest up to each, runs (side 0) before references.
+
+    Instants fall into buckets of the first width, these into buckets of the
+    next; each level is a window over buckets with the state carried over.
+    """
+    if not widths:
+        w = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+        return events.withColumn("_end", F.max("_end").over(w))
+    b = f"_b{len(widths)}"
+    cut = events.withColumn(b, F.floor(F.col("_at") / F.lit(widths[0])).cast("bigint"))
+    ends = cut.groupBy(*keys, b).agg(F.max("_end").alias("_own"))
+    w = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select(*keys, b, F.max("_own").over(w).alias("_before"))
+    inside = running_end(cut, [*keys, b], widths[1:]).filter("_side = 1")
+    joined = inside.join(before, [*keys, b])
+    return joined.select(*[c for c in events.columns if c != "_end"], F.greatest("_end", "_before").alias("_end"))
 
 
 def asof_end(left: DataFrame, runs: DataFrame, keys: list[str], at: str) -> DataFrame:
     """``left`` with ``run_end``: the latest end among runs begun at or before ``at``.
 
     ``runs`` has ``keys``, run_start and run_end as integers.  Rows with a null
-    key or instant get a null end.
+    key or instant get a null end.  ``left`` is used twice.
     """
-    begun = runs.groupBy(*keys, "run_start").agg(F.max("run_end").alias("_end"))
-    days = begun.groupBy(*keys, _bucket(F.col("run_start")).alias("_day")).agg(F.max("_end").alias("_day_end"))
-    asked = left.withColumn("_day", _bucket(F.col(at)))
-    # the state before each day: what a day's runs reach is seen from the next day on
-    touched = asked.select(*keys, "_day").dropna().distinct()
-    events = touched.select(*keys, "_day", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_before")).unionByName(
-        days.select(*keys, (F.col("_day") + 1).alias("_day"), F.lit(0).alias("_side"), F.col("_day_end").alias("_before"))
-    )
-    w2 = W.partitionBy(*keys).orderBy("_day", "_side").rowsBetween(W.unboundedPreceding, 0)
-    before = events.withColumn("_before", F.max("_before").over(w2)).filter("_side = 1").drop("_side")
-    # within the day: runs and references in one order
-    names = [c for c in asked.columns if c not in {*keys, "_day", at}]
-    rest = F.struct(*names) if names else F.struct(F.lit(1).alias("_none"))
-    lhs = asked.select(*keys, "_day", F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_end"), rest.alias("_rest"))
-    rhs = begun.select(
-        *keys, _bucket(F.col("run_start")).alias("_day"), F.col("run_start").alias("_at"), F.lit(0).alias("_side"), "_end",
-        F.lit(None).cast(lhs.schema["_rest"].dataType).alias("_rest"),
-    )
-    w3 = W.partitionBy(*keys, "_day").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    inday = lhs.unionByName(rhs).withColumn("_end", F.max("_end").over(w3)).filter("_side = 1")
-    out = inday.join(before, [*keys, "_day"], "left")
-    return out.select(*keys, F.col("_at").alias(at), *([F.col(f"_rest.`{c}`") for c in names]), F.greatest("_end", "_before").alias("run_end"))
+    begun = runs.groupBy(*keys, F.col("run_start").alias("_at")).agg(F.max("run_end").alias("_end")).select(*keys, "_at", F.lit(0).alias("_side"), "_end")
+    asked = left.select(*keys, F.col(at).alias("_at")).dropna().groupBy(*keys, "_at").agg(F.count("*").alias("_n"))
+    asked = materialise(asked)
+    events = asked.select(*keys, "_at", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_end")).unionByName(begun)
+    hot = asked.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(*keys)
+    if hot.isEmpty():
+        ended = running_end(events, keys, (DAY,))
+    else:
+        hot = materialise(hot)
+        cool = running_end(events.join(hot, keys, "left_anti"), keys, (DAY,))
+        ended = cool.unionByName(running_end(events.join(hot, keys, "left_semi"), keys, (DAY, TENTH)))
+    found = ended.filter("_side = 1").select(*keys, F.col("_at").alias(at), F.col("_end").alias("run_end"))
+    return left.join(found, [*keys, at], "left").select(*left.columns, "run_end")
 
 
 def lives(chunks: DataFrame, deletions: DataFrame, keep: list[str]) -> DataFrame:
@@ -113,17 +125,26 @@ def lives(chunks: DataFrame, deletions: DataFrame, keep: list[str]) -> DataFrame
     return never.select(*out).unionByName(dated.select(*out))
 
 
-#: What a target key consists of; a part that a kind does not use is empty.
-KEY = ["kind", "owner", "scope", "num", "name"]
+#: A target key: a group, as 128 bits of hash, and a number in it.
+GROUP = ["g1", "g2"]
+KEY = [*GROUP, "num"]
+#: The text before the last number of an id, and that number without leading zeros.
+_NUMBERED = r"(?s)^(.*?)([1-9][0-9]{0,17})?$"
 
 
-def _key(kind: str, owner: Column, scope: Column | None = None, num: Column | None = None, name: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"), owner.alias("owner"),
-        F.coalesce(F.lit(-1) if scope is None else scope.cast("bigint"), F.lit(-1).cast("bigint")).cast("bigint").alias("scope"),
-        (F.lit(0) if num is None else num).cast("bigint").alias("num"),
-        (F.lit("") if name is None else name).alias("name"),
+def _key(kind: str | Column, owner: Column, scope: Column | None = None, num: Column | None = None, name: Column | None = None) -> Column:
+    """struct<g1, g2, num>; parts that a kind does not use are empty."""
+    number = (F.lit(-1) if num is None else F.coalesce(num, F.lit(-1))).cast("bigint")
+    parts = (
+        F.lit(kind) if isinstance(kind, str) else kind, owner, F.coalesce(F.lit(-1) if scope is None else scope.cast("bigint"), F.lit(-1).cast("bigint")).cast("bigint"),
+        F.lit("") if name is None else name, F.floor(number / F.lit(SPAN)).cast("bigint"),
     )
+    return F.struct(F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(1), *parts).alias("g2"), number.alias("num"))
+
+
+def _id_key(ident: Column) -> Column:
+    tail = F.regexp_extract(ident, _NUMBERED, 2)
+    return _key("id", F.regexp_extract(ident, _NUMBERED, 1), num=F.when(tail != "", tail.cast("bigint")))
 
 
 def parent_keys(chunks: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -139,21 +160,22 @@ def parent_keys(chunks: DataFrame, deletions: DataFrame) -> DataFrame:
     )
     lived = lives(h, deletions, ["id", "act_slug", "ch", "sec", "sub", "clause", "annex"])
     c = F.col
+    act = c("act_slug").isNotNull()
     keys = F.array(
-        F.when(c("id").isNotNull(), _key("id", c("id"))),
-        F.when(c("sec").isNotNull(), _key("sec", c("act_slug"), num=c("sec"))),
-        F.when(c("ch").isNotNull() & ~c("annex"), _key("ch", c("act_slug"), num=c("ch"))),
-        F.when(c("sub").isNotNull(), _key("sub", c("act_slug"), c("sec"), c("sub"))),
-        F.when(c("clause").isNotNull(), _key("cl", c("act_slug"), c("sec"), name=c("clause"))),
+        F.when(c("id").isNotNull(), _id_key(c("id"))),
+        F.when(act & c("sec").isNotNull(), _key("sec", c("act_slug"), num=c("sec"))),
+        F.when(act & c("ch").isNotNull() & ~c("annex"), _key("ch", c("act_slug"), num=c("ch"))),
+        F.when(act & c("sub").isNotNull(), _key("sub", c("act_slug"), c("sec"), c("sub"))),
+        F.when(act & c("clause").isNotNull(), _key("cl", c("act_slug"), c("sec"), name=c("clause"))),
     )
     exploded = lived.select(F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k"), "run_start", "run_end").select("k.*", "run_start", "run_end")
-    return exploded.filter("owner IS NOT NULL").groupBy(*KEY, "run_end").agg(F.min("run_start").alias("run_start"))
+    return exploded.groupBy(*KEY, "run_end").agg(F.min("run_start").alias("run_start"))
 
 
 def references(chunks: DataFrame, entities: DataFrame, acts: DataFrame) -> DataFrame:
     """(src_table, src_id, ref_pos, at, target key) of every reference with an id.
 
-    A malformed id, or a prefix of no act, has a null owner: it leads nowhere.
+    A malformed id, or a prefix of no act, has a null key: it leads nowhere.
     """
     rx = r"^(.*)-(sec|ch|sub|cl)([^-]+)$"
     refs = chunks.select(
@@ -166,21 +188,17 @@ def references(chunks: DataFrame, entities: DataFrame, acts: DataFrame) -> DataF
     known = acts.select(
         F.concat_ws("-", "act_slug", F.coalesce(F.col("bs_year").cast("string"), F.lit("None"))).alias("prefix"), "act_slug"
     ).filter("act_slug IS NOT NULL").distinct()
-    inner = F.col("kind").isin("sub", "cl")
+    inner = F.when(F.col("kind").isin("sub", "cl"), F.col("sec"))
+    led = F.col("act_slug").isNotNull() & (F.col("kind").eqNullSafe("cl") | F.col("num").isNotNull())
+    clause = F.when(F.col("kind") == "cl", F.col("tail")).otherwise(F.lit(""))
     chunk_refs = parts.withColumn("num", num).join(known, "prefix", "left").select(
-        F.lit("chunks").alias("src_table"), F.col("chunk_row_id").alias("src_id"), "ref_pos", micros("loaded_at").alias("at"),
-        "kind",
-        F.when(F.col("kind").eqNullSafe("cl") | F.col("num").isNotNull(), F.col("act_slug")).alias("owner"),
-        F.when(inner, F.coalesce(F.col("sec").cast("bigint"), F.lit(-1).cast("bigint"))).otherwise(F.lit(-1)).cast("bigint").alias("scope"),
-        F.coalesce("num", F.lit(0)).cast("bigint").alias("num"),
-        F.when(F.col("kind") == "cl", F.col("tail")).otherwise(F.lit("")).alias("name"),
+        F.lit("chunks").alias("src_table"), F.col("chunk_row_id").alias("src_id"), F.col("ref_pos").cast("int").alias("ref_pos"), micros("loaded_at").alias("at"),
+        F.when(led, _key(F.col("kind"), F.col("act_slug"), inner, F.col("num"), clause)).alias("k"),
     )
     ents = entities.filter("chunk_id IS NOT NULL").select(
-        F.lit("entities").alias("src_table"), F.col("entity_id").alias("src_id"), F.lit(0).alias("ref_pos"),
-        micros("extracted_at").alias("at"), F.lit("id").alias("kind"), F.col("chunk_id").alias("owner"),
-        F.lit(-1).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("num"), F.lit("").alias("name"),
+        F.lit("entities").alias("src_table"), F.col("entity_id").alias("src_id"), F.lit(0).alias("ref_pos"), micros("extracted_at").alias("at"), _id_key(F.col("chunk_id")).alias("k")
     )
-    return chunk_refs.unionByName(ents)
+    return chunk_refs.unionByName(ents).select("src_table", "src_id", "ref_pos", "at", "k.*")
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -190,10 +208,9 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     reference's instant (deleted before, or loaded later).  A null instant has
     no living target.  Repeated references are reported each.
     """
-    group = ["kind", "owner", "scope", "name"]
-    nowhere = refs.filter("owner IS NULL").withColumn("reason", F.lit("never"))
-    led = refs.filter("owner IS NOT NULL")
-    never = missing_keys(led, integer_runs(parents, group, "num"), group, "num").withColumn("_never", F.lit(True))
+    nowhere = refs.filter("g1 IS NULL").withColumn("reason", F.lit("never"))
+    led = refs.filter("g1 IS NOT NULL")
+    never = missing_keys(led, integer_runs(parents, GROUP, "num"), GROUP, "num").withColumn("_never", F.lit(True))
     marked = led.join(never, KEY, "left")
     gone = marked.filter("_never").withColumn("reason", F.lit("never"))
     there = asof_end(marked.filter("_never IS NULL").drop("_never"), parents, KEY, "at")
@@ -205,8 +222,8 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def _orphans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
     refs = references(chunks, table(spark, sf_dir, "entities"), table(spark, sf_dir, "acts"))
-    # the keys are read by both passes
-    return orphans(refs, materialise(parent_keys(chunks, table(spark, sf_dir, "chunk_deletions"))))
+    # references and keys are read by both passes
+    return orphans(materialise(refs), materialise(parent_keys(chunks, table(spark, sf_dir, "chunk_deletions"))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,13 +89,33 @@ def test_integer_runs(spark):
 
 
 def test_asof_over_days(spark):
-    day = orphans.BUCKET
+    day = orphans.DAY
     runs = spark.createDataFrame([("k", 10, 20), ("k", 5, 3 * day), ("k", day, day + 1)], "k string, run_start bigint, run_end bigint")
     left = spark.createDataFrame([("k", 4, 1), ("k", 5, 2), ("k", 2 * day, 3), ("k", 9 * day, 4), ("z", 5, 5), (None, 5, 6), ("k", None, 7)], "k string, t bigint, id int")
     got = {r.id: r.run_end for r in orphans.asof_end(left, runs, ["k"], "t").collect()}
     assert got == {1: None, 2: 3 * day, 3: 3 * day, 4: 3 * day, 5: None, 6: None, 7: None}
 
 
+@pytest.mark.parametrize("width", [1, 10**5, 10**9, 10**12])
+def test_a_hot_key_in_one_day_or_many(spark, monkeypatch, width):
+    """One key holds nearly all rows; tenths of a second below the day give the same ends."""
+    monkeypatch.setattr(orphans, "HOT_ROWS", 20)
+    rnd = random.Random(width)
+    runs = [("hot", (s := rnd.randrange(0, 60 * width)), s + rnd.randrange(0, 9 * width)) for _ in range(60)] + [("cool", 3, 5)]
+    left = [("hot", rnd.randrange(0, 70 * width), i) for i in range(150)] + [("hot", 5, 200 + i) for i in range(30)] + [("cool", 4, 900)]
+    rdf, ldf = spark.createDataFrame(runs, "k string, run_start bigint, run_end bigint"), spark.createDataFrame(left, "k string, t bigint, id int")
+    got = {r.id: r.run_end for r in orphans.asof_end(ldf, rdf, ["k"], "t").collect()}
+    assert got == {i: max((e for k2, s, e in runs if k2 == k and s <= t), default=None) for k, t, i in left}
+
+
+def test_keys_of_text_are_runs_of_numbers(spark):
+    ids = ["doc1", "doc2", "doc10", "doc007", "doc", "7", "", "a\nb3", "x99999999999999999999"]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", orphans._id_key(F.col("id")).alias("k")).collect()
+    assert len({(r.k.g1, r.k.g2, r.k.num) for r in rows}) == len(ids)
+    by = {r.id: r.k for r in rows}
+    assert by["doc1"].g1 == by["doc2"].g1 == by["doc10"].g1 != by["doc007"].g1 and by["doc10"].num == 10 and by["doc"].num == -1
+
+
 def test_empty_tables(spark):
     cdf = spark.createDataFrame([], CHUNK)
     ddf = spark.createDataFrame([], "chunk_id string, deleted_at timestamp_ntz")
