@@ -35,7 +35,3 @@ def checked(v: Column, dim: int) -> Column:
     """The vector, or an error if it has not ``dim`` elements."""
     return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit("vector has not the size "), F.lit(str(dim)))).cast("array<float>"))
 
-
-def sparse_entries(m: Column) -> Column:
-    """A map {token: weight} as entries with integer tokens."""
-    return F.map_entries(F.transform_keys(m, lambda k, _: k.cast("int")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,13 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster's ``spark.checkpoint.dir`` is used as it is; a temporary folder
-    is made only where no setting exists (single-machine tests).
+    The cluster's ``spark.checkpoint.dir`` is used as it is.  Without it a
+    temporary folder serves where all tasks run in this one process (tests);
+    on a cluster it is an error.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if not have:
-        have = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lekhya-")
+        have = spark.conf.get("spark.checkpoint.dir", None)
+        if not have and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        have = have or tempfile.mkdtemp(prefix="lekhya-")
         sc.setCheckpointDir(have)
     return have
 
@@ -46,6 +52,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def materialise_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """As ``materialise`` for the union of parts, one after the other: only one is worked on at a time."""
+    path = None
+    for df in parts:
+        path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lekhya-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(df: DataFrame, keys: list[str], order: str, out: str, width: int = 65_536) -> DataFrame:
     """``df`` with ``out``: the position, from 0, by the integer ``order`` within ``keys``.
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lekhya.io import numbered
+
 K_VALUES = (1, 3, 5, 7, 10)
 METRICS = ("MRR", "NDCG", "Recall", "Precision", "MAP", "HitRate")
 
@@ -20,21 +22,35 @@ def ranked(run: DataFrame, tie: str = "ord") -> DataFrame:
     return run.withColumn("rank", F.row_number().over(W.partitionBy("method", "qid").orderBy(*by)))
 
 
-def ideal(qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
-    """(qid, n_rel, idcg_k...) per query of the judgements."""
+def gains_of(qrels: DataFrame) -> DataFrame:
+    """(qid, rel, n): how many documents are judged so, of judgements (qid, docid, rel)."""
+    return qrels.groupBy("qid", "rel").agg(F.count("*").alias("n"))
+
+
+def ideal(gains: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
+    """(qid, n_rel, idcg_k...) per query of the judgements, from their counts (qid, rel, n)."""
+    most = max(k_values)
     # of the judgements only the best are put in order
-    pos = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "docid"))
-    best = qrels.withColumn("_pos", pos).filter(F.col("_pos") <= max(k_values))
+    best = gains.select("qid", "rel", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(most)).cast("int"))).alias("_i"))
+    best = best.withColumn("_pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "_i"))).filter(F.col("_pos") <= most)
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("_pos") + 1)
-    gains = best.groupBy("qid").agg(*[F.sum(F.when(F.col("_pos") <= k, gain).otherwise(0.0)).alias(f"idcg_{k}") for k in k_values])
-    return qrels.groupBy("qid").agg(F.sum((F.col("rel") > 0).cast("int")).alias("n_rel")).join(gains, "qid")
+    sums = best.groupBy("qid").agg(*[F.sum(F.when(F.col("_pos") <= k, gain).otherwise(0.0)).alias(f"idcg_{k}") for k in k_values])
+    return gains.groupBy("qid").agg(F.sum(F.when(F.col("rel") > 0, F.col("n")).otherwise(0)).alias("n_rel")).join(sums, "qid")
+
+
+def judged_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``run`` with ``rel``, 0 where nothing is said."""
+    return run.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
     """(method, qid, K, metric columns) for queries of both run and judgements."""
-    most = max(k_values)
-    top = ranked(run).filter(F.col("rank") <= most)
-    judged = top.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    top = ranked(run).filter(F.col("rank") <= max(k_values))
+    return of_judged(judged_run(top, qrels), gains_of(qrels), k_values)
+
+
+def of_judged(judged: DataFrame, gains: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
+    """As ``per_query`` for a run with ``rank`` and ``rel``, and the counts (qid, rel, n) of the judgements."""
     hit = F.col("rel") > 0
     w = W.partitionBy("method", "qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     judged = judged.withColumn("_hits", F.sum(hit.cast("int")).over(w))
@@ -47,7 +63,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VA
             F.sum((inside & hit).cast("int")).alias(f"hits_{k}"),
             F.sum(F.when(inside & hit, F.col("_hits") / F.col("rank")).otherwise(0.0)).alias(f"ap_{k}"),
         ]
-    wide = judged.groupBy("method", "qid").agg(*aggs).join(ideal(qrels, k_values), "qid")
+    wide = judged.groupBy("method", "qid").agg(*aggs).join(ideal(gains, k_values), "qid")
     rows = F.array(
         *[
             F.struct(
@@ -67,7 +83,12 @@ def per_query(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VA
 
 def evaluate(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
     """(method, K, metric columns): the means over queries, to six places."""
-    return per_query(run, qrels, k_values).groupBy("method", "K").agg(*[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+    return means(per_query(run, qrels, k_values))
+
+
+def means(per: DataFrame) -> DataFrame:
+    """(method, K, metric columns) of rows per query."""
+    return per.groupBy("method", "K").agg(*[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
 def tidy(report: DataFrame) -> DataFrame:
@@ -82,7 +103,7 @@ def matched_gold(gold: DataFrame, corpus: DataFrame) -> DataFrame:
     The numbering runs over matched rows only, in the order of ``ord``.
     """
     found = gold.join(corpus.select("docid").distinct(), "docid", "left_semi")
-    return found.withColumn("qid", F.concat(F.lit("q_"), (F.row_number().over(W.orderBy("ord")) - 1).cast("string")))
+    return numbered(found, [], "ord", "_n").withColumn("qid", F.concat(F.lit("q_"), F.col("_n").cast("string"))).drop("_n")
 
 
 def skipped_gold(gold: DataFrame, corpus: DataFrame) -> DataFrame:

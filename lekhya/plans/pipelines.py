@@ -67,19 +67,23 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, k_values:
     """corpus(docid, text, vector, weights, ord) and queries(qid, query, qvec, qweights) to a report.
 
     Dense by inner product, sparse with zeros, their weighted sum, and the
-    second stage over the best ``pool`` of it if a scorer is given.
+    second stage over the best ``pool`` of it if a scorer is given.  Equal
+    scores stand in the order of the corpus.
     """
-    from lekhya.functions.vectors import dot
-
-    dense = retrieval.dense_scores(corpus.select("docid", "vector"), queries.select("qid", "qvec"), dot)
-    sparse = retrieval.with_zeros(retrieval.sparse_scores(corpus.select("docid", "weights"), queries.select("qid", "qweights")), corpus, queries)
-    hybrid = retrieval.weighted(dense, sparse)
-    runs = [d.withColumn("method", F.lit(name)) for name, d in (("dense", dense), ("sparse", sparse), ("hybrid", hybrid))]
+    most = max(k_values)
+    # the place in the corpus is the id while ranks are made
+    docs, texts = corpus.select(F.col("ord").alias("docid"), "vector", "weights"), corpus.select(F.col("ord").alias("docid"), "text")
+    ids = corpus.select("ord", "docid")
+    runs = {
+        "dense": retrieval.dense_search(docs, queries, most, retrieval.dot), "sparse": retrieval.sparse_search(docs, queries, most, zeros=True),
+        "hybrid": retrieval.weighted_search(docs, queries, most),
+    }
     if scorer is not None:
-        best = retrieval.top_k(hybrid, pool).join(corpus.select("docid", "text"), "docid").join(queries.select("qid", "query"), "qid")
-        again = retrieval.rerank(best, pool, scorer, normalise=False)
-        runs.append(again.select("qid", "docid", F.col("rerank_score").alias("score")).withColumn("method", F.lit("reranked")))
-    run = runs[0]
-    for r in runs[1:]:
+        best = retrieval.weighted_search(docs, queries, pool).join(texts, "docid").join(queries.select("qid", "query"), "qid")
+        runs["reranked"] = retrieval.rerank(best, most, scorer, normalise=False).withColumnRenamed("rerank_score", "score")
+    rows = [r.select("qid", F.col("docid").alias("ord"), "score", "rank").withColumn("method", F.lit(name)) for name, r in runs.items()]
+    run = rows[0]
+    for r in rows[1:]:
         run = run.unionByName(r)
-    return metrics.evaluate(run.join(corpus.select("docid", "ord"), "docid"), qrels, k_values)
+    judged = metrics.judged_run(run.join(ids, "ord").drop("ord"), qrels)
+    return metrics.means(metrics.of_judged(judged, metrics.gains_of(qrels), k_values))

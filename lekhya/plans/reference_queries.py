@@ -158,11 +158,15 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _bags(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Word counts of the documents, as (docid, token, w) and of the queries."""
-    docs = _documents(spark, d).filter("text IS NOT NULL")
-    words = docs.select(F.col("doc_id").alias("docid"), F.explode(F.split("text", " ")).alias("token")).filter("token <> ''")
-    counts = words.groupBy("docid", "token").agg(F.count("*").cast("double").alias("w"))
-    return counts, counts.filter(F.col("docid") % EVERY == 0).select(F.col("docid").alias("qid"), "token", F.col("w").alias("qw"))
+    """Word counts of the documents as maps, and those of the queries."""
+    docs = retrieval.bags(_documents(spark, d).select(F.col("doc_id").alias("docid"), "text")).select("docid", "weights")
+    return docs, docs.filter(F.col("docid") % EVERY == 0).select(F.col("docid").alias("qid"), F.col("weights").alias("qweights"))
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, bags, queries with either)."""
+    (corpus, dense), (bags, sparse) = _vectors(spark, d), _bags(spark, d)
+    return corpus, bags, dense.join(sparse, "qid", "full")
 
 
 def _rounded(df: DataFrame, col: str = "score") -> DataFrame:
@@ -178,54 +182,69 @@ def _dense(similarity: Callable[[Column, Column], Column], **more: object) -> Qu
     return run
 
 
-def _sparse_scores(spark: SparkSession, d: str) -> DataFrame:
-    counts, queries = _bags(spark, d)
-    return counts.join(queries, "token").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.sparse_search(*_bags(spark, d), K).select("qid", "docid", "score", "rank")
 
 
-def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_sparse_scores(spark, d), K).select("qid", "docid", "score", "rank")
+def sparse_zeros_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse ranking of all documents, those without a shared word last."""
+    corpus, queries = _bags(spark, d)
+    some = corpus.withColumn("weights", F.map_filter("weights", lambda k, _: F.length(k) > 9))
+    asked = queries.withColumn("qweights", F.map_filter("qweights", lambda k, _: F.length(k) > 9)).filter(F.size("qweights") > 0)
+    return retrieval.sparse_search(some, asked, K, zeros=True).select("qid", "docid", "score", "rank")
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Fusion of the dense and sparse top 2k of the same query ids."""
-    corpus, queries = _vectors(spark, d)
-    dense = retrieval.dense_search(corpus, queries, retrieval.PREFETCH * K, digits=6)
-    sparse = retrieval.top_k(_sparse_scores(spark, d), retrieval.PREFETCH * K)
-    return retrieval.rrf([dense, sparse], K, digits=9).select("qid", "docid", "score", "rank")
+    return retrieval.hybrid_search(*_both(spark, d), K, digits=6).select("qid", "docid", "score", "rank")
 
 
 def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """1.0 * dense + 0.3 * sparse over pairs of both runs."""
-    corpus, queries = _vectors(spark, d)
-    dense = _rounded(retrieval.dense_scores(corpus, queries, dot))
-    return retrieval.top_k(_rounded(retrieval.weighted(dense, _sparse_scores(spark, d))), K).select("qid", "docid", "score", "rank")
+    """1.0 * dense + 0.3 * sparse over all pairs, 0 where no word is shared."""
+    corpus, bags, queries = _both(spark, d)
+    full = corpus.join(bags, "docid", "left")
+    return retrieval.weighted_search(full, queries, K, digits=6).select("qid", "docid", "score", "rank")
+
+
+def two_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of 4k candidates, ranked again by shared words."""
+    corpus, bags, queries = _both(spark, d)
+    texts = _documents(spark, d).select(F.col("doc_id").alias("docid"), "text")
+    asked = queries.join(texts.select(F.col("docid").alias("qid"), F.col("text").alias("query")), "qid")
+    got = retrieval.two_stage("hybrid", corpus, bags, asked, texts, K, retrieval.overlap_scorer, digits=6)
+    return got.select("qid", "docid", F.round("rerank_score", 6).alias("rerank_score"), "original_score", "rank")
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """The sparse top 4k ranked again by shared words."""
     docs = _documents(spark, d).select(F.col("doc_id").alias("docid"), "text")
-    pool = retrieval.top_k(_sparse_scores(spark, d), retrieval.RERANK_POOL * K)
+    pool = retrieval.sparse_search(*_bags(spark, d), retrieval.RERANK_POOL * K)
     full = pool.join(docs, "docid").join(docs.select(F.col("docid").alias("qid"), F.col("text").alias("query")), "qid")
     got = retrieval.rerank(full, K)
     return got.select("qid", "docid", F.round("rerank_score", 6).alias("rerank_score"), "original_score", "rank")
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of the dense runs, a vector of the same label being relevant."""
+    """Metrics of the dense runs, a vector of the same label being relevant.
+
+    The judgements are counted by label; their pairs are never made.
+    """
     corpus, queries = _vectors(spark, d)
-    labels = corpus.select("docid", "label")
-    judged = labels.join(labels.filter(F.col("docid") % EVERY == 0).select(F.col("docid").alias("qid"), F.col("label").alias("ql")))
-    qrels = judged.filter("label = ql").select("qid", "docid", F.lit(1).alias("rel"))
-    runs = [_rounded(retrieval.dense_scores(corpus, queries, f)).withColumn("method", F.lit(n)) for n, f in (("cosine", cosine), ("dot", dot))]
-    report = metrics.evaluate(runs[0].unionByName(runs[1]), qrels)
+    label = corpus.select("docid", "label")
+    asked = queries.join(label.withColumnRenamed("docid", "qid"), "qid").select("qid", F.col("label").alias("_asked"))
+    most = max(metrics.K_VALUES)
+    runs = [retrieval.dense_search(corpus, queries, most, f, digits=6).withColumn("method", F.lit(n)) for n, f in (("cosine", cosine), ("dot", dot))]
+    run = runs[0].unionByName(runs[1]).join(label, "docid").join(asked, "qid")
+    judged = run.withColumn("rel", (F.col("label") == F.col("_asked")).cast("int")).drop("label", "_asked")
+    gains = asked.join(label.groupBy(F.col("label").alias("_asked")).agg(F.count("*").alias("n")), "_asked").select("qid", F.lit(1).alias("rel"), "n")
+    report = metrics.means(metrics.of_judged(judged, gains))
     return report.select("method", "K", *[F.round(m, 4).alias(m) for m in metrics.METRICS])
 
 
 def gold_matched(spark: SparkSession, d: str) -> DataFrame:
-    """Entities whose chunk is in the corpus."""
+    """Entities whose chunk is in the corpus, numbered in order."""
     gold = _entities(spark, d).select(F.col("entity_id").alias("ord"), F.col("chunk_id").alias("docid"))
-    return gold.join(_chunks(spark, d).select(F.col("id").alias("docid")), "docid", "left_semi")
+    return metrics.matched_gold(gold, _chunks(spark, d).select(F.col("id").alias("docid")))
 
 
 def gold_skipped(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +359,7 @@ def queries() -> dict[str, Query]:
     own = (
         clean_documents, act_slugs, digits_to_int, chunk_stats, chunk_references, parse_documents, document_blocks, front_metadata, keyword_scores,
         relevant_chunks, keyword_histogram, filter_stats, context_windows, embedding_texts, breadcrumbs, clause_refs, point_ids, upsert_last_wins,
-        upsert_twice, collection_info, sparse_topk, hybrid_rrf, hybrid_weighted, reranked, eval_metrics, gold_matched, gold_skipped, corpus_last_text,
+        upsert_twice, collection_info, sparse_topk, sparse_zeros_topk, hybrid_rrf, hybrid_weighted, two_stage, reranked, eval_metrics, gold_matched, gold_skipped, corpus_last_text,
         cleaned_outputs, parsed_answers, parsed_fees, office_levels, task_names, workflows, workflow_documents, workflow_sources, distinct_documents,
         entity_chunks, otsu_thresholds, title_queries, reference_queries, hard_negatives, training_triples,
     )
@@ -395,6 +414,18 @@ def _ranked(source: str, k: int) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM {source}) WHERE rank <= {k})"
 
 
+def _second_stage(tables: str, pool: str) -> str:
+    """The best 4k of ``pool`` by shared distinct words over the root of both numbers of words."""
+    return f"""WITH {_BAGS}, {tables}
+        pool AS {_ranked(pool, 4 * K)},
+        sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) AS ws FROM documents),
+        pairs AS (SELECT p.qid, p.docid, p.score AS original_score, p.rank AS old, CASE WHEN len(q.ws) > 0 AND len(d.ws) > 0
+            THEN len(list_intersect(q.ws, d.ws)) / sqrt(CAST(len(q.ws) AS DOUBLE) * len(d.ws)) ELSE 0.0 END AS x
+            FROM pool p JOIN sets d ON p.docid = d.doc_id JOIN sets q ON p.qid = q.doc_id)
+        SELECT qid, docid, round(1 / (1 + exp(-x)), 6) AS rerank_score, original_score, rank FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY 1 / (1 + exp(-x)) DESC, old) AS INT) AS rank FROM pairs) WHERE rank <= {K}"""
+
+
 _H = "hierarchy"
 _PATH = "concat_ws(' › ', {0})"
 
@@ -568,9 +599,16 @@ def oracle_sql() -> dict[str, str]:
             both_ AS (SELECT qid, docid, rank FROM {_ranked("dense", 2 * K)} UNION ALL SELECT qid, docid, rank FROM {_ranked("sparse", 2 * K)})
             {_topk("SELECT qid, docid, round(sum(1.0 / (60 + rank)), 9) AS score FROM both_ GROUP BY qid, docid")}""",
         "hybrid_weighted": f"""WITH {_BAGS}, dense AS ({_dense_sql("list_dot_product")})
-            {_topk("SELECT d.qid, d.docid, round(1.0 * d.score + 0.3 * s.score, 6) AS score FROM dense d JOIN sparse s ON d.qid = s.qid AND d.docid = s.docid")}""",
+            {_topk("SELECT d.qid, d.docid, round(1.0 * d.score + 0.3 * coalesce(s.score, 0), 6) AS score FROM dense d LEFT JOIN sparse s ON d.qid = s.qid AND d.docid = s.docid")}""",
+        "sparse_zeros_topk": f"""WITH b AS (SELECT docid, token, CAST(count(*) AS DOUBLE) AS w FROM (SELECT doc_id AS docid, unnest(string_split(text, ' ')) AS token FROM documents) WHERE length(token) > 9 GROUP BY ALL),
+            pairs AS (SELECT q.docid AS qid, c.docid, sum(q.w * c.w) AS s FROM b q JOIN b c USING (token) WHERE q.docid % {EVERY} = 0 GROUP BY ALL)
+            {_topk(f"SELECT q.qid, d.doc_id AS docid, coalesce(p.s, 0.0) AS score FROM (SELECT DISTINCT docid AS qid FROM b WHERE docid % {EVERY} = 0) q CROSS JOIN documents d LEFT JOIN pairs p ON p.qid = q.qid AND p.docid = d.doc_id")}""",
+        "two_stage": _second_stage(f"""dense AS ({_dense_sql("list_cosine_similarity")}),
+            both_ AS (SELECT qid, docid, rank FROM {_ranked("dense", 8 * K)} UNION ALL SELECT qid, docid, rank FROM {_ranked("sparse", 8 * K)}),
+            fused AS (SELECT qid, docid, round(sum(1.0 / (60 + rank)), 9) AS score FROM both_ GROUP BY qid, docid),""", "fused"),
+        "reranked": _second_stage("", "sparse"),
         "eval_metrics": _metric_sql(),
-        "gold_matched": "SELECT chunk_id AS docid, entity_id AS ord FROM entities WHERE chunk_id IN (SELECT id FROM chunks)",
+        "gold_matched": "SELECT chunk_id AS docid, entity_id AS ord, 'q_' || (row_number() OVER (ORDER BY entity_id) - 1) AS qid FROM entities WHERE chunk_id IN (SELECT id FROM chunks)",
         "gold_skipped": "SELECT entity_id AS ord, chunk_id AS docid FROM entities e WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.id = e.chunk_id)",
         "corpus_last_text": "SELECT id AS docid, arg_max(coalesce(text, ''), chunk_row_id) AS text, min(chunk_row_id) AS ord FROM chunks GROUP BY id",
         "cleaned_outputs": f"""SELECT output_id, CASE WHEN NOT {rejects(office, NEPALI.office_rejects)} AND length({office}) >= 3 THEN {office} END AS office,

@@ -51,19 +51,60 @@ def test_metrics_by_hand(spark):
 
 def test_sparse_and_fusion(spark):
     corpus = spark.createDataFrame([("d1", {10: 0.5, 11: 0.2}), ("d2", {12: 0.9}), ("d3", {}), ("d4", None)], "docid string, weights map<int,float>")
-    queries = spark.createDataFrame([("q", {10: 1.0, 12: 0.5})], "qid string, qweights map<int,float>")
-    scores = {r.docid: round(r.score, 6) for r in retrieval.sparse_scores(corpus, queries).collect()}
+    queries = spark.createDataFrame([("q", {10: 1.0, 12: 0.5}), ("none", {}), ("null", None)], "qid string, qweights map<int,float>")
+    scores = {r.docid: round(r.score, 6) for r in retrieval.sparse_search(corpus, queries, 9).collect()}
     assert scores == {"d1": 0.5, "d2": 0.45}
-    zeros = retrieval.with_zeros(retrieval.sparse_scores(corpus, queries), corpus, queries)
-    assert {r.docid: round(r.score, 6) for r in zeros.collect()} == {"d1": 0.5, "d2": 0.45, "d3": 0.0, "d4": 0.0}
+    zeros = retrieval.sparse_search(corpus, queries, 9, zeros=True).collect()
+    assert {(r.qid, r.docid): round(r.score, 6) for r in zeros} == {("q", "d1"): 0.5, ("q", "d2"): 0.45, ("q", "d3"): 0.0, ("q", "d4"): 0.0}
     a = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "qid string, docid string, rank int")
     b = spark.createDataFrame([("q", "b", 1), ("q", "c", 2)], "qid string, docid string, rank int")
     for pair in ([a, b], [b, a]):
         got = {r.docid: r.score for r in retrieval.rrf(pair, 10).collect()}
         assert got == pytest.approx({"b": 1 / 62 + 1 / 61, "a": 1 / 61, "c": 1 / 62})
-    d = spark.createDataFrame([("q", "a", 0.8)], "qid string, docid string, score double")
-    s = spark.createDataFrame([("q", "a", 0.5)], "qid string, docid string, score double")
-    assert retrieval.weighted(d, s).collect()[0].score == pytest.approx(0.95)
+    both = spark.createDataFrame([("a", [0.8, 0.0], {1: 0.5}), ("b", [0.2, 0.0], None), ("c", None, {1: 9.0})], "docid string, vector array<float>, weights map<int,float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0], {1: 1.0})], "qid string, qvec array<float>, qweights map<int,float>")
+    assert {r.docid: r.score for r in retrieval.weighted_search(both, asked, 5).collect()} == pytest.approx({"a": 0.95, "b": 0.2})
+
+
+@pytest.mark.parametrize("queries_of_slice,block", [(10_000, 4_000_000), (3, 4_000_000), (1, 7), (4, 1)])
+def test_slices_give_the_same_as_brute_force(spark, monkeypatch, queries_of_slice, block):
+    import random
+
+    monkeypatch.setattr(retrieval, "SLICE_QUERIES", queries_of_slice)
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", block)
+    rnd = random.Random(5)
+    docs = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)], {w: float(rnd.randint(1, 3)) for w in rnd.sample("abcdef", rnd.randint(0, 4))}) for i in range(40)]
+    asked = [(f"q{i}", *docs[3 * i][1:]) for i in range(10)]
+    ddf = spark.createDataFrame(docs, "docid bigint, vector array<double>, weights map<string,double>").repartition(3)
+    qdf = spark.createDataFrame(asked, "qid string, qvec array<double>, qweights map<string,double>")
+
+    def best(score):
+        out = set()
+        for q, v, w in asked:
+            scored = [(-s, i) for i, x, y in docs if (s := score(v, w, x, y)) is not None]
+            out |= {(q, i, r, -s) for r, (s, i) in enumerate(sorted(scored)[:4], 1)}
+        return out
+
+    def inner(v, w, x, y):
+        return sum(a * b for a, b in zip(v, x))
+
+    def shared(v, w, x, y):
+        return sum(n * y[t] for t, n in w.items() if t in y) if w.keys() & y.keys() else None
+
+    def rows(df):
+        return {(r.qid, r.docid, r["rank"], r.score) for r in df.collect()}
+
+    assert rows(retrieval.dense_search(ddf, qdf, 4, retrieval.dot)) == best(inner)
+    assert rows(retrieval.sparse_search(ddf, qdf, 4)) == best(shared)
+    assert rows(retrieval.weighted_search(ddf, qdf, 4, weights=(1.0, 0.5))) == best(lambda *a: inner(*a) + 0.5 * (shared(*a) or 0.0))
+    plan = retrieval.sparse_search(ddf, qdf, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_bags(spark):
+    df = spark.createDataFrame([(1, "a b  a\nc"), (2, ""), (3, None), (4, " ")], "docid int, text string")
+    assert {r.docid: r.weights for r in retrieval.bags(df).collect()} == {1: {"a": 1.0, "b": 1.0, "a\nc": 1.0}, 2: {}, 3: None, 4: {}}
+    assert retrieval.bags(df.limit(0)).count() == 0
 
 
 def test_dense_and_types(spark):
