@@ -1,15 +1,17 @@
 """A collection of points: embedding, keyed upsert, counts, deletion.
 
-A collection is a folder of parquet versions with a pointer to the current
-one.  An upsert writes the next version and swaps the pointer, so readers never
-see half of it and a failed job leaves the old version in place.
+A collection is a folder, on any file system that Spark reads, of parquet
+buckets by hash of the point and of pointers: the one of the greatest number
+names the version of every bucket.  An upsert reads and writes only the buckets
+that its points fall into and then adds a pointer, so readers never see half of
+it and a failed job leaves the old version in place.  Buckets that neither the
+current nor the last pointer names are removed.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,12 +21,17 @@ from pyspark.sql import functions as F
 
 from lekhya.functions.chunks import embedding_text, point_id
 from lekhya.functions.vectors import checked
+from lekhya.io import materialise
 from lekhya.rules import NEPALI, RulePack
 
 #: texts -> (dense vectors, {token: weight} of each)
 Encoder = Callable[[list[str]], tuple[list[list[float]], list[dict[int, float]]]]
 
 
+#: Buckets of a new collection.
+BUCKETS = 64
+
+
 def hashed_words(dim: int = 64, tokens: int = 1 << 20) -> Encoder:
     """The default encoder: signed hashing of words, term counts as weights."""
     import zlib
@@ -87,43 +94,90 @@ class Collection:
     spark: SparkSession
     root: str
     name: str
+    buckets: int = BUCKETS
 
     @property
     def _dir(self) -> str:
-        return os.path.join(self.root, self.name)
-
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self._dir, "current.json")
-
-    def _version(self) -> int:
-        if not os.path.exists(self._pointer):
-            return 0
-        with open(self._pointer) as f:
-            return int(json.load(f)["version"])
+        return f"{self.root.rstrip('/')}/{self.name}"
+
+    def _fs(self, path: str) -> tuple:
+        """(file system, path) of the cluster's configuration."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(conf), where
+
+    def _pointers(self) -> list[int]:
+        fs, where = self._fs(f"{self._dir}/pointers")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()) if fs.exists(where) else []
+
+    def _pointer(self, number: int) -> dict:
+        """{"buckets": number of buckets, "paths": {bucket: folder}}; an absent one is empty."""
+        fs, where = self._fs(f"{self._dir}/pointers/{number:012d}")
+        if number < 1 or not fs.exists(where):
+            return {"buckets": self.buckets, "paths": {}}
+        stream = fs.open(where)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def ensure(self) -> None:
         """Create the collection if it is absent."""
-        os.makedirs(self._dir, exist_ok=True)
+        fs, where = self._fs(f"{self._dir}/pointers")
+        fs.mkdirs(where)
 
     def read(self) -> DataFrame | None:
-        v = self._version()
-        return self.spark.read.parquet(os.path.join(self._dir, f"v{v}")) if v else None
+        at = self._pointers()
+        return self._read(self._pointer(at[-1])["paths"].values()) if at else None
+
+    def _read(self, folders) -> DataFrame | None:
+        paths = [f"{self._dir}/{f}" for f in folders]
+        return self.spark.read.parquet(*sorted(paths)) if paths else None
 
     def upsert(self, new: DataFrame) -> int:
-        """Write the next version; returns its number of points."""
+        """Replace and add the points of ``new``; returns the collection's number of points."""
         self.ensure()
-        v = self._version() + 1
-        path = os.path.join(self._dir, f"v{v}")
-        upserted(self.read(), new).write.mode("overwrite").parquet(path)
-        with open(self._pointer + ".new", "w") as f:
-            json.dump({"version": v}, f)
-        os.replace(self._pointer + ".new", self._pointer)
-        return self.spark.read.parquet(path).count()
+        at = self._pointers()
+        number = at[-1] if at else 0
+        old = self._pointer(number)
+        paths = old["paths"]
+        latest = materialise(last_wins(new, "point_id", "ord"))
+        bucket = F.pmod(F.xxhash64("point_id"), F.lit(old["buckets"])).cast("int")
+        touched = sorted(r[0] for r in latest.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
+        if touched:
+            before = self._read([paths[str(b)] for b in touched if str(b) in paths])
+            folder = f"v{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            rows = latest if before is None else before.join(latest.select("point_id"), "point_id", "left_anti").unionByName(latest)
+            rows.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self._dir}/{folder}")
+            paths = paths | {str(b): f"{folder}/bucket={b}" for b in touched}
+        self._point(number + 1, {"buckets": old["buckets"], "paths": paths})
+        self._sweep(set(paths.values()) | set(old["paths"].values()), self._pointer(number - 1)["paths"].values(), at[:-1])
+        got = self._read(paths.values())
+        return 0 if got is None else got.count()
+
+    def _point(self, number: int, pointer: dict) -> None:
+        """Add a pointer; it appears whole under its name or not at all."""
+        fs, where = self._fs(f"{self._dir}/pointers/{number:012d}")
+        temporary = self._fs(f"{self._dir}/pointers/_{uuid.uuid4().hex}")[1]
+        stream = fs.create(temporary)
+        stream.write(bytearray(json.dumps(pointer).encode()))
+        stream.close()
+        if not fs.rename(temporary, where):
+            raise RuntimeError(f"another upsert wrote version {number} of {self.name}")
+
+    def _sweep(self, kept: set[str], earlier, numbers: list[int]) -> None:
+        """Remove folders that only earlier pointers name, and these pointers."""
+        for folder in set(earlier) - kept:
+            fs, where = self._fs(f"{self._dir}/{folder}")
+            fs.delete(where, True)
+        for n in numbers:
+            fs, where = self._fs(f"{self._dir}/pointers/{n:012d}")
+            fs.delete(where, False)
 
     def delete(self) -> None:
         """Remove the collection; an absent one is no error."""
-        shutil.rmtree(self._dir, ignore_errors=True)
+        fs, where = self._fs(self._dir)
+        fs.delete(where, True)
 
     def info(self) -> dict:
         got = self.read()
