@@ -73,6 +73,26 @@ def parse_documents(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc", "ord", "id", "type", F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"), F.col("hierarchy.clause").alias("clause"), "text", F.col("stats.tokens").alias("tokens"))
 
 
+def parsed_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Titles, levels, provisos and explanations of the chunks of documents."""
+    docs = _documents(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("act_slug", F.lit("")).alias("slug"), F.lit(2080).alias("bs_year"), "text")
+    h = hierarchy.parse(docs)
+    return h.select(
+        "doc", "ord", F.coalesce("hierarchy.ch", F.lit(-1)).alias("ch"), F.col("hierarchy.ch_title").alias("ch_title"), F.col("hierarchy.sec_title").alias("sec_title"),
+        F.coalesce("hierarchy.sub", F.lit(-1)).alias("sub"), F.get("provisos", F.lit(0)).alias("proviso"), F.get("explanations", F.lit(0)).alias("explanation"), F.regexp_extract("id", r"-(\d{4}|None)(?:-|$)", 1).alias("year"),
+    )
+
+
+def amendment_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The amendments of every act, written as its front page and read again."""
+    a = _acts(spark, d)
+    entry = F.transform("amended_refs", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(r["ref"], F.lit("")), F.lit("  "), F.coalesce(r["date"], F.lit(""))))
+    page = F.concat_ws("\n", "title", F.lit(NEPALI.amendment + ":"), F.array_join(entry, "\n"), F.lit("परिच्छेद १"), F.lit("9. after"))
+    got = metadata.extract(a.select("act_id", page.alias("page")), "page")
+    rows = got.select("act_id", F.posexplode("act_metadata.amended_refs").alias("pos", "r"))
+    return rows.select("act_id", "pos", F.col("r.ref").alias("ref"), F.col("r.date").alias("date"))
+
+
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks per document of the parser, before they become chunks."""
     docs = _documents(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
@@ -346,6 +366,29 @@ def reference_queries(spark: SparkSession, d: str) -> DataFrame:
     return training.reference_queries(_chunks(spark, d))
 
 
+def definition_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about the section titles, written as defined terms before the texts."""
+    c = _chunks(spark, d).filter("hierarchy.sec_title IS NOT NULL")
+    term = F.concat(F.lit('“'), F.regexp_replace("hierarchy.sec_title", '["”]', ""), F.lit('” भन्नाले '), F.coalesce("text", F.lit("")))
+    return training.definition_queries(c.withColumn("text", term))
+
+
+def negative_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per chunk its negatives that are what they must be: hard of the same chapter and another section, others of another chapter or act."""
+    c = _chunks(spark, d)
+    key = c.select("chunk_row_id", F.struct(F.coalesce("act_slug", F.lit("")).alias("act"), F.coalesce("hierarchy.ch", F.lit(-1)).alias("ch")).alias("part"), F.coalesce("hierarchy.sec", F.lit(-1)).alias("sec"))
+    other = key.select(F.col("chunk_row_id").alias("negative_id"), F.col("part").alias("_part"), F.col("sec").alias("_sec"))
+    got = training.negatives(c).distinct().join(key, "chunk_row_id").join(other, "negative_id")
+    hard = F.col("hard") & (F.col("part") == F.col("_part")) & (F.col("sec") != F.col("_sec"))
+    return got.groupBy("chunk_row_id").agg(F.sum(hard.cast("int")).alias("n_hard"), F.sum((~F.col("hard") & (F.col("part") != F.col("_part"))).cast("int")).alias("n_other"))
+
+
+def triple_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and positives of the training triples."""
+    got = training.triples(_chunks(spark, d))
+    return got.select("query", F.col("pos")[0].alias("positive"), F.col("meta.chunk_id").alias("chunk_id"))
+
+
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return training.negatives(_chunks(spark, d))
 
@@ -357,11 +400,11 @@ def training_triples(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        clean_documents, act_slugs, digits_to_int, chunk_stats, chunk_references, parse_documents, document_blocks, front_metadata, keyword_scores,
+        clean_documents, act_slugs, digits_to_int, chunk_stats, chunk_references, parse_documents, parsed_hierarchy, amendment_entries, document_blocks, front_metadata, keyword_scores,
         relevant_chunks, keyword_histogram, filter_stats, context_windows, embedding_texts, breadcrumbs, clause_refs, point_ids, upsert_last_wins,
         upsert_twice, collection_info, sparse_topk, sparse_zeros_topk, hybrid_rrf, hybrid_weighted, two_stage, reranked, eval_metrics, gold_matched, gold_skipped, corpus_last_text,
         cleaned_outputs, parsed_answers, parsed_fees, office_levels, task_names, workflows, workflow_documents, workflow_sources, distinct_documents,
-        entity_chunks, otsu_thresholds, title_queries, reference_queries, hard_negatives, training_triples,
+        entity_chunks, otsu_thresholds, title_queries, reference_queries, definition_queries, negative_counts, triple_texts, hard_negatives, training_triples,
     )
     return {
         "dense_cosine_topk": _dense(cosine), "dense_dot_topk": _dense(dot), "dense_filtered_topk": _dense(cosine, label=1),
@@ -490,8 +533,8 @@ def _lines_sql() -> str:
     body AS (SELECT doc_id, act_slug, pos, line, NOT (pos = start_pos AND gaz) AS free FROM st WHERE pos >= start_pos)"""
 
 
-def _parse_sql() -> str:
-    """The parser's islands in SQL, from lines to chunks."""
+def _parse_sql(wanted: str) -> str:
+    """The parser's islands in SQL, from lines to chunks: the columns ``wanted``."""
     r = NEPALI
     ws = lambda p: p.replace("\\s", WS)
     annex, chapter, section, sub, clause = (ws(p) for p in (r.annex, r.chapter, r.section, r.subsection, r.clause))
@@ -512,22 +555,49 @@ def _parse_sql() -> str:
     t8 AS (SELECT *, free AND NOT a AND NOT c AND NOT t AND NOT s AND NOT u AND regexp_matches(line, '{clause}') AS k FROM t7),
     t9 AS (SELECT *, {isl("(a OR c OR s)")} AS sec_island, {isl("(a OR c OR s OR u)")} AS sub_island, {isl("(a OR c OR s OR u OR k)")} AS block FROM t8),
     h AS (SELECT *, {held(f"CASE WHEN a THEN {annex_no} ELSE {_to_int(ex(chapter, 1))} END", "a OR c", "ch_island")} AS ch, max(a) OVER (PARTITION BY doc_id, ch_island) AS annex,
-        {held(_to_int(ex(section, 1)), "s", "sec_island")} AS sec, {held(_strip(ex(section, 2)), "s", "sec_island")} AS sec_title, {held(_to_int(ex(sub, 1)), "u", "sub_island")} AS sub,
+        {held(_to_int(ex(section, 1)), "s", "sec_island")} AS sec, {held(_strip(ex(section, 2)), "s", "sec_island")} AS sec_title, {held("line", "t OR a", "ch_island")} AS title_line, {held("block", "t OR a", "ch_island")} AS title_block, {held(_to_int(ex(sub, 1)), "u", "sub_island")} AS sub,
         {held(f"CASE WHEN a THEN nullif({ex(annex, 2)}, '') ELSE {ex(clause, 1)} END", "a OR k", "block")} AS clause FROM t9),
-    b AS (SELECT doc_id, any_value(act_slug) AS slug, block, any_value(annex) AS annex, any_value(ch) AS ch, any_value(sec) AS sec, any_value(sec_title) AS title, any_value(sub) AS sub, any_value(clause) AS clause,
+    b AS (SELECT doc_id, any_value(act_slug) AS slug, block, any_value(annex) AS annex, any_value(ch) AS ch, any_value(sec) AS sec, any_value(sec_title) AS title, any_value(title_line) AS title_line, any_value(title_block) AS title_block, any_value(sub) AS sub, any_value(clause) AS clause,
         {_strip("string_agg(line, ' ' ORDER BY pos) FILTER (NOT c AND NOT t)")} AS x FROM h GROUP BY doc_id, block),
     x1 AS (SELECT *, regexp_extract(x, '^{D}+\.{WS}*') AS pre FROM b WHERE x <> ''),
     x2 AS (SELECT *, CASE WHEN coalesce(title, '') <> '' AND pre <> '' AND starts_with(substr(x, length(pre) + 1), title)
         THEN {_strip(f"regexp_replace(substr(x, length(pre) + length(title) + 1), '^[:ः]?{WS}*', '')")} ELSE x END AS y FROM x1),
     x3 AS (SELECT *, {has("sub")} regexp_replace(y, '^\({D}+\){WS}*', '') ELSE y END AS y1 FROM x2),
     x4 AS (SELECT *, {has("clause")} regexp_replace(y1, '^\([{r.clause_class}]\){WS}*', '') ELSE y1 END AS y2 FROM x3),
-    x5 AS (SELECT *, CASE WHEN contains(y2, '{r.proviso}') THEN {_strip(f"string_split(y2, '{r.proviso}')[1]")} ELSE y2 END AS y3 FROM x4 WHERE {_strip("y2")} <> ''),
-    x6 AS (SELECT *, CASE WHEN contains(y3, '{r.explanation}') THEN {_strip(f"string_split(y3, '{r.explanation}')[1]")} ELSE y3 END AS text FROM x5)
-    SELECT CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS ord,
-      concat_ws('-', coalesce(slug, '') || '-None', CASE WHEN annex THEN 'anusuchi' || coalesce(CAST(ch AS VARCHAR), '') ELSE 'ch' || ch END, 'sec' || sec, 'sub' || sub, 'cl' || clause) AS id,
+    x5 AS (SELECT *, CASE WHEN contains(y2, '{r.proviso}') THEN '{r.proviso.strip()} ' || {_strip(f"string_split(y2, '{r.proviso}')[2]")} END AS proviso, CASE WHEN contains(y2, '{r.proviso}') THEN {_strip(f"string_split(y2, '{r.proviso}')[1]")} ELSE y2 END AS y3 FROM x4 WHERE {_strip("y2")} <> ''),
+    x6 AS (SELECT *, CASE WHEN contains(y3, '{r.explanation}') THEN '{r.explanation.strip()} ' || {_strip(f"string_split(y3, '{r.explanation}')[2]")} END AS explanation, CASE WHEN contains(y3, '{r.explanation}') THEN {_strip(f"string_split(y3, '{r.explanation}')[1]")} ELSE y3 END AS text FROM x5)
+    SELECT CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS ord, {wanted} FROM x6"""
+
+
+_PARSED = f"""concat_ws('-', coalesce(slug, '') || '-None', CASE WHEN annex THEN 'anusuchi' || coalesce(CAST(ch AS VARCHAR), '') ELSE 'ch' || ch END, 'sec' || sec, 'sub' || sub, 'cl' || clause) AS id,
       CASE WHEN annex AND sec IS NULL AND sub IS NULL AND clause IS NULL THEN 'anusuchi' ELSE CASE WHEN annex THEN 'anusuchi_' ELSE '' END ||
         CASE WHEN clause IS NOT NULL THEN 'clause' WHEN sub IS NOT NULL THEN 'subsection' ELSE 'section' END END AS type,
-      coalesce(sec, -1) AS sec, clause, text, CAST(floor({_words("text")} * 1.5) AS INT) AS tokens FROM x6"""
+      coalesce(sec, -1) AS sec, clause, text, CAST(floor({_words("text")} * 1.5) AS INT) AS tokens"""
+_LEVELS = """coalesce(ch, -1) AS ch, nullif(CASE WHEN block >= title_block THEN title_line END, '') AS ch_title, nullif(title, '') AS sec_title,
+      coalesce(sub, -1) AS sub, proviso, explanation, '2080' AS year"""
+
+
+def _front_sql() -> str:
+    """Title, type, year and dates of the front lines."""
+    r = NEPALI
+    kind = lambda x: "CASE " + " ".join(f"WHEN contains({x}, '{w}') THEN '{k}'" for w, k in r.doc_types) + " END"
+    year = lambda x: _to_int(f"regexp_extract({x}, '({D}{{4}})', 1)")
+    value = r.date_value.replace("\\s", WS)
+    found = lambda x: f"nullif(regexp_extract({x}, '{value}', 1), '')"
+
+    def date(field: str) -> str:
+        labels = "|".join(p for p, f in r.date_labels if f == field).replace("\\s", WS)
+        return f"""replace(list_filter(list_transform(range(1, least(len(l), 20) + 1), lambda i: CASE WHEN regexp_matches(l[i], '{labels}')
+            THEN coalesce({found("l[i]")}, {found("l[i + 1]")}, {found("l[i + 2]")}) END), lambda v: v IS NOT NULL)[1], ' ', '')"""
+
+    alone = _to_int("regexp_extract(x, '^[^0-9०-९]*(" + D + "{4})[^0-9०-९]*$', 1)")
+    return f"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), E'\\n'), lambda x: {_strip("x")}), lambda x: x <> '') AS l FROM documents),
+      b AS (SELECT *, list_filter(l[1:10], lambda x: contains(x, '{r.title_word}') AND regexp_matches(x, '{D}{{4}}'))[1] AS named,
+        list_filter(range(1, least(len(l), 15) + 1), lambda i: {kind("l[i]")} IS NOT NULL)[1] AS oi FROM a),
+      c AS (SELECT *, l[oi] AS other, list_filter(list_transform(l[oi + 1 : oi + 3], lambda x: {alone}), lambda y: y IS NOT NULL)[1] AS alone,
+        {date("date_published")} AS date_published, {date("date_commenced")} AS date_commenced FROM b)
+      SELECT doc_id, coalesce(CASE WHEN named IS NOT NULL THEN {year("named")} WHEN other IS NOT NULL THEN coalesce({year("other")}, alone) END, {year("coalesce(date_commenced, date_published)")}) AS bs_year,
+        CASE WHEN named IS NULL AND other IS NOT NULL THEN {kind("other")} ELSE 'act' END AS type, date_published, date_commenced, coalesce(named, other, '{metadata.UNKNOWN_TITLE}') AS act_title FROM c"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -570,7 +640,20 @@ def oracle_sql() -> dict[str, str]:
                 SELECT chunk_row_id, act_slug, regexp_extract_all(text, '{ref}', 0) AS whole, regexp_extract_all(text, '{ref}', 1) AS words, regexp_extract_all(text, '{ref}', 2) AS val FROM chunks),
               unnest(range(1, len(whole) + 1)) AS u(i))""",
         "document_blocks": f"WITH {_lines_sql()} SELECT doc_id AS doc, count(*) AS n_lines, CAST(min(pos) AS INT) AS first_pos FROM body GROUP BY doc_id",
-        "parse_documents": _parse_sql(),
+        "parse_documents": _parse_sql(_PARSED),
+        "parsed_hierarchy": _parse_sql(_LEVELS),
+        "front_metadata": _front_sql(),
+        "amendment_entries": f"""SELECT act_id, CAST(i - 1 AS INT) AS pos, CASE WHEN d <> '' THEN {_strip("substring(line, 1, strpos(line, d) - 1)")} ELSE line END AS ref, replace(d, ' ', '') AS date FROM (
+            SELECT *, regexp_extract(line, '{NEPALI.date_value.replace(chr(92) + "s", WS)}', 1) AS d FROM (
+              SELECT act_id, i, {_strip("coalesce(amended_refs[i].ref, '') || '  ' || coalesce(amended_refs[i].date, '')")} AS line FROM acts, unnest(range(1, len(amended_refs) + 1)) AS u(i)))""",
+        "definition_queries": " UNION ALL ".join(
+            f"""SELECT chunk_row_id, replace('{t}', '{{}}', regexp_replace(hierarchy.sec_title, '["”]', '', 'g')) AS query FROM chunks WHERE length(regexp_replace(hierarchy.sec_title, '["”]', '', 'g')) BETWEEN 1 AND 80""" for t in training.DEFINITION_TEMPLATES
+        ),
+        "negative_counts": f"""WITH k AS (SELECT chunk_row_id, coalesce(act_slug, '') AS act, coalesce(hierarchy.ch, -1) AS ch, coalesce(hierarchy.sec, -1) AS sec FROM chunks),
+            n AS (SELECT chunk_row_id, count(*) OVER () AS t, count(*) OVER (PARTITION BY act) AS a, count(*) OVER (PARTITION BY act, ch) AS c, count(*) OVER (PARTITION BY act, ch, sec) AS s FROM k),
+            f AS (SELECT *, least({(training.NEGATIVES + 1) // 2}, c - s) AS f FROM n), g AS (SELECT *, least({training.NEGATIVES} - f, t - a) AS g FROM f), h AS (SELECT *, least({training.NEGATIVES} - f - g, a - c) AS h FROM g)
+            SELECT * FROM (SELECT chunk_row_id, least({training.NEGATIVES} - g - h, c - s) AS n_hard, g + h AS n_other FROM h) WHERE n_hard + n_other > 0""",
+        "triple_texts": f"""SELECT query, concat_ws(' | ', CASE WHEN {crumb} = '' THEN '—' ELSE {crumb} END, text) AS positive, id AS chunk_id FROM ({titles}) JOIN chunks USING (chunk_row_id)""",
         "keyword_scores": f"SELECT chunk_row_id, {_score()} AS ner_score FROM chunks",
         "relevant_chunks": f"WITH passed AS (SELECT * FROM (SELECT chunk_row_id, text, {_score()} AS ner_score FROM chunks) WHERE ner_score >= 2) {groups}",
         "keyword_histogram": f"SELECT ner_score, count(*) AS n FROM (SELECT {_score()} AS ner_score FROM chunks) GROUP BY ALL",
