@@ -1,4 +1,4 @@
-"""Command line: ingest, search, entities and evaluate; ``python -m lekhya.cli -h``."""
+"""Command line: extract, ingest, search, entities, evaluate and run; ``python -m lekhya.cli -h``."""
 
 from __future__ import annotations
 
@@ -8,13 +8,15 @@ import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lekhya.config import Settings
-from lekhya.operators import entities, relevance, store
+from lekhya.io import materialise
+from lekhya.operators import metrics, relevance, store
 from lekhya.operators.retrieval import SEARCH_TYPES, overlap_scorer
 from lekhya.plans import pipelines
-from lekhya.sources import readers, writers
+from lekhya.sources import models, readers, writers
 
 
 def loaded(name: str) -> Callable:
@@ -46,13 +48,53 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("entities", help="entities and workflows of dataset files")
     e.add_argument("-i", "--input", default=s.dataset_dir)
     e.add_argument("-o", "--output", default="entity_results")
-    e.add_argument("-p", "--provider", help="module:function that answers a text with JSON")
+    e.add_argument("-p", "--provider", default=s.provider, help="auto, local, hosted, or module:function that answers a text with JSON")
+    e.add_argument("--hosted", help="module:function that asks a hosted model")
+    e.add_argument("--host", default=s.model_host)
+    e.add_argument("--model", default=s.model or None)
+    e.add_argument("--retries", type=int)
     e.add_argument("--filter-only", action="store_true")
     e.add_argument("--use-windowing", action="store_true", default=s.use_windowing)
     e.add_argument("--batch-size", type=int, default=s.batch_size)
+    v = sub.add_parser("evaluate", help="ranking quality of the searches over dataset files and a gold file")
+    v.add_argument("-i", "--input", default=s.dataset_dir)
+    v.add_argument("--gold", required=True)
+    v.add_argument("-o", "--output", default="evaluation.json")
+    v.add_argument("--k", type=int, nargs="+", default=list(metrics.K_VALUES))
+    v.add_argument("--pool", type=int, default=100)
+    v.add_argument("--no-rerank", action="store_true", default=not s.rerank)
+    r = sub.add_parser("run", help="extract, then ingest, as the variables LEKHYA_RUN_EXTRACT and LEKHYA_RUN_INGEST say")
+    r.add_argument("--ocr")
     return p
 
 
+def extractor_of(a: argparse.Namespace) -> tuple[Callable, dict]:
+    """(extractor, its policy) of the options of the command ``entities``."""
+    if ":" in a.provider:
+        asked, policy = loaded(a.provider), models.LOCAL
+    else:
+        asked, policy = models.chosen(a.provider, a.host, a.model, loaded(a.hosted) if a.hosted else None)
+    return asked, {"retries": a.retries or policy.retries, "wait": policy.wait, "again": policy.again, "delay": policy.delay}
+
+
+def evaluated(spark: SparkSession, a: argparse.Namespace, encoder: store.Encoder, dim: int) -> DataFrame:
+    """The report of the searches: raw texts, gold queries whose document is there."""
+    chunks = dataset_chunks(spark, a.input)
+    placed = chunks.select(F.col("id").alias("docid"), F.coalesce("text", F.lit("")).alias("text"), F.struct("act_slug", "ord").alias("ord")).filter("docid IS NOT NULL")
+    # acts are files, in the order of their names
+    acts = placed.select("ord.act_slug").distinct().withColumn("_n", F.row_number().over(W.orderBy("act_slug")).cast("bigint"))
+    rows = metrics.last_text(placed).select("docid", "text", "ord.act_slug", F.col("ord.ord").alias("_ord"))
+    numbered = materialise(rows.join(acts, "act_slug").select("docid", "text", (F.col("_n") * 2**32 + F.col("_ord")).alias("ord")))
+    corpus = store.embed(numbered, "text", encoder, dim).withColumnRenamed("sparse", "weights")
+    gold = metrics.matched_gold(readers.gold(spark, a.gold), numbered)
+    skipped = metrics.skipped_gold(readers.gold(spark, a.gold), numbered).count()
+    if skipped:
+        print(skipped, "gold queries without a document are left out")
+    queries = store.embed(gold.select("qid", "query"), "query", encoder, dim).select("qid", "query", F.col("vector").alias("qvec"), F.col("sparse").alias("qweights"))
+    qrels = gold.select("qid", "docid", F.lit(1).alias("rel"))
+    return pipelines.evaluate(materialise(corpus), materialise(queries), qrels, tuple(a.k), a.pool, None if a.no_rerank else overlap_scorer)
+
+
 def commands(lines: Iterator[str], state: dict) -> Iterator[str]:
     """Questions of an interactive session; settings lines change ``state``.
 
@@ -81,6 +123,12 @@ def dataset_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, lines: Iterator[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "run":
+        s, done = Settings.from_env(), 0
+        front = ["--encoder", a.encoder] if a.encoder else []
+        for wanted, rest in ((s.run_extract, ["extract", "--ocr", a.ocr or ""]), (s.run_ingest, ["ingest"])):
+            done = done or (main([*front, *rest], spark) if wanted else 0)
+        return done
     spark = spark or SparkSession.builder.appName("lekhya").getOrCreate()
     dim = Settings.from_env().dim
     encoder = loaded(a.encoder) if a.encoder else store.hashed_words(dim)
@@ -102,13 +150,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, lines
             asked = spark.createDataFrame([("q", text)], "qid string, query string")
             hits = pipelines.search(collection, asked, encoder, dim, state["type"], state["top_k"], a.act, overlap_scorer if state["rerank"] else None)
             print(writers.show(hits, state["top_k"]) or "nothing found")
+    elif a.command == "evaluate":
+        report = evaluated(spark, a, encoder, dim)
+        writers.write_report(report, a.output, {"pool": str(a.pool), "k": str(a.k)})
+        report.orderBy("method", "K").show(100, False)
     else:
         chunks = dataset_chunks(spark, a.input)
         if a.filter_only:
             relevance.statistics(chunks).show()
             relevance.histogram(chunks).orderBy("ner_score").show()
             return 0
-        got = pipelines.entity_results(chunks, loaded(a.provider) if a.provider else entities.no_model, a.use_windowing, limit=a.batch_size)
+        asked, policy = extractor_of(a)
+        got = pipelines.entity_results(chunks, asked, a.use_windowing, limit=a.batch_size, policy=policy)
         writers.write_results(got["entities"], f"{a.output}/entities")
         writers.write_results(got["workflows"], f"{a.output}/workflows")
         got["counts"].show()

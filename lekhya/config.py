@@ -21,6 +21,11 @@ class Settings:
     dim: int = 64
     use_windowing: bool = False
     batch_size: int | None = None
+    provider: str = "auto"
+    model_host: str = "http://localhost:11434"
+    model: str = ""
+    run_extract: bool = False
+    run_ingest: bool = False
 
     @classmethod
     def from_env(cls, prefix: str = "LEKHYA_") -> Settings:

@@ -27,6 +27,9 @@ NONE = "array<string>"
 
 # --- answers ---------------------------------------------------------------
 
+#: Words that a step must have to be kept.
+MIN_STEP_WORDS = 4
+
 
 def unfenced(content: Column) -> Column:
     """The JSON of an answer: no code fence, no commas before a closing bracket."""
@@ -98,7 +101,7 @@ def clean_documents(docs: Column, rules: RulePack = NEPALI) -> Column:
 
 
 def clean_steps(steps: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(steps, F.array().cast(NONE)), strip), lambda s: word_count(s) >= 4)
+    return F.filter(F.transform(F.coalesce(steps, F.array().cast(NONE)), strip), lambda s: word_count(s) >= MIN_STEP_WORDS)
 
 
 def clean_duration(duration: Column, rules: RulePack = NEPALI) -> Column:
@@ -188,12 +191,13 @@ def resolve_model(wanted: str | None, installed: list[str]) -> str | None:
 
 
 def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5, wait: Callable[[int], float] | None = None,
-            delay: float = 0.0) -> DataFrame:
+            delay: float = 0.0, again: Callable[[Exception], bool] | None = None) -> DataFrame:
     """``chunks`` with ``answer``: what the extractor says to each text.
 
-    Blank texts are not asked.  A failing call is tried again ``retries``
-    times, with ``wait(attempt)`` seconds between; then the answer is null.
-    A task waits ``delay`` seconds after every call.
+    Blank texts are not asked.  A call is made ``retries`` times at most, with
+    ``wait(attempt)`` seconds between, as long as ``again(error)`` holds (any
+    error by default); then the answer is null.  A task waits ``delay`` seconds
+    after every call.
     """
 
     @F.pandas_udf("string")
@@ -207,7 +211,9 @@ def answers(chunks: DataFrame, extractor: Extractor = no_model, retries: int = 5
                     if delay:
                         time.sleep(delay)
                     return got
-                except Exception:  # noqa: BLE001 - any failure of a model is tried again
+                except Exception as error:  # noqa: BLE001 - ``again`` tells which failures of a model pass
+                    if again is not None and not again(error):
+                        break
                     if attempt < retries and wait is not None:
                         time.sleep(wait(attempt))
             return None

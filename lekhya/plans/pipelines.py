@@ -46,9 +46,11 @@ def search(collection: store.Collection, queries: DataFrame, encoder: store.Enco
 
 
 def entity_results(chunks: DataFrame, extractor: entities.Extractor, use_windowing: bool = False, window: int = 3, limit: int | None = None,
-                   rules: RulePack = NEPALI) -> dict[str, DataFrame]:
+                   rules: RulePack = NEPALI, policy: dict | None = None) -> dict[str, DataFrame]:
     """Filter, window, ask, parse, clean and aggregate the chunks of acts.
 
+    ``policy`` holds retries, wait, again and delay of ``entities.answers``.
+
     ``limit`` takes so many chunks of each act, in order, before the filter.
     """
     if limit is not None:
@@ -56,7 +58,7 @@ def entity_results(chunks: DataFrame, extractor: entities.Extractor, use_windowi
     passed = relevance.relevant(chunks, rules)
     asked = relevance.context_windows(passed, window) if use_windowing else passed
     # written once: nothing may ask the model again
-    answered = materialise(entities.answers(asked, extractor))
+    answered = materialise(entities.answers(asked, extractor, **(policy or {})))
     found = materialise(entities.entities_of(answered, rules))
     counts = passed.groupBy("act_slug").agg(F.count("*").alias("total_chunks_filtered")).join(asked.groupBy("act_slug").agg(F.count("*").alias("total_chunks_processed")), "act_slug")
     return {"entities": found, "workflows": entities.workflows(found, rules=rules), "counts": counts}

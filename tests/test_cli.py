@@ -44,6 +44,18 @@ def test_from_files_to_answers(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["entities", "-i", folder["json"], "--filter-only"], spark) == 0
     assert cli.main(["entities", "-i", folder["json"], "-o", folder["out"], "-p", "tests.test_cli:fake_model"], spark) == 0
     assert spark.read.json(folder["out"] + "/entities").count() == 2
+    (tmp_path / "gold.json").write_text(json.dumps([{"query": "नवीकरण शुल्क", "relevant_part_in_doc": nested.chunks[1].id}, {"query": "x", "relevant_part_in_doc": "no"}]))
+    report = str(tmp_path / "report.json")
+    assert cli.main(["evaluate", "-i", folder["json"], "--gold", str(tmp_path / "gold.json"), "-o", report, "--k", "1", "2"], spark) == 0
+    assert "1 gold queries" in capsys.readouterr().out
+    results = json.load(open(report))["results"]
+    assert set(results) == {"dense", "sparse", "hybrid", "reranked"} and all(r["MRR@2"] >= 0.5 for r in results.values()) and results["sparse"]["MRR@1"] == 1.0
+    monkeypatch.setenv("LEKHYA_DATASET_DIR", folder["json"])
+    monkeypatch.setenv("LEKHYA_COLLECTION_DIR", folder["col"] + "2")
+    assert cli.main(["run"], spark) == 0 and "points" not in capsys.readouterr().out
+    monkeypatch.setenv("LEKHYA_RUN_INGEST", "true")
+    monkeypatch.setenv("LEKHYA_RECREATE", "true")
+    assert cli.main(["run"], spark) == 0 and "2 points" in capsys.readouterr().out
     (tmp_path / "json" / "bad_dataset.json").write_text("{}")
     with pytest.raises(Exception, match="no chunks"):
         cli.dataset_chunks(spark, folder["json"]).collect()
@@ -86,3 +98,57 @@ def test_settings(monkeypatch):
     s = Settings.from_env()
     assert (s.top_k, s.rerank, s.search_type) == (9, False, "hybrid")
     assert entities.resolve_model("a", ["b", "a:7b"]) == "a:7b" and entities.resolve_model("x", ["b"]) == "b" and entities.resolve_model(None, []) is None
+
+
+def test_models(monkeypatch):
+    import http.server
+    import threading
+
+    from lekhya.sources import models
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.answer({"models": [{"name": "a:7b"}, {"name": "b"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert asked["format"] == "json" and asked["messages"][0]["content"] == models.CONTRACT
+            self.answer({"message": {"content": asked["model"] + asked["messages"][1]["content"]}})
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{server.server_port}"
+    ask, policy = models.chosen("auto", host, "a")
+    assert ask("x") == "a:7bx" and policy is models.LOCAL and models.chosen("local", host, None)[0]("y") == "a:7by"
+    server.shutdown()
+    server.server_close()
+    assert models.installed_models(host) == [] and models.chosen("auto", host, "a", fake_model) == (fake_model, models.HOSTED)
+    for bad in (("other", None), ("hosted", None), ("local", None)):
+        with pytest.raises(ValueError):
+            models.chosen(bad[0], host, bad[1])
+    assert models.overloaded(Exception("HTTP 503")) and not models.overloaded(Exception("401"))
+    assert [models.LOCAL.wait(a) for a in (1, 2)] == [2, 4] and [models.HOSTED.wait(a) for a in (1, 2)] == [3, 9]
+    assert models.device()[0] in ("cpu", "cuda", "mps")
+
+
+def test_errors_that_are_not_tried_again(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def failing(text):
+        with open(log, "a") as f:
+            f.write(text)
+        raise ValueError("429" if text == "a" else "401")
+
+    from lekhya.sources.models import overloaded
+
+    df = spark.createDataFrame([("a",), ("b",), (" ",)], "text string").coalesce(1)
+    assert [r.answer for r in entities.answers(df, failing, retries=3, wait=lambda a: 0, again=overloaded).collect()] == [None, None]
+    assert sorted(log.read_text()) == ["a", "a", "a", "b"]
