@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -41,22 +42,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_folder(spark: SparkSession) -> str:
+    """Where this application writes its tables, below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lekhya-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on the file system that it names; an absent one is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; results that read them are gone then."""
+    remove(spark, written_folder(spark))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet below the shared checkpoint folder and read it.
 
     Cuts the lineage like a checkpoint, but compressed and columnar, so later
     steps read only the columns they use.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lekhya-{uuid.uuid4().hex}"
+    path = f"{written_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``materialise`` for the time of a block; the table is removed behind it."""
+    path = f"{written_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+
+
 def materialise_all(parts: Iterable[DataFrame]) -> DataFrame:
     """As ``materialise`` for the union of parts, one after the other: only one is worked on at a time."""
     path = None
     for df in parts:
-        path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lekhya-{uuid.uuid4().hex}"
+        path = path or f"{written_folder(df.sparkSession)}/{uuid.uuid4().hex}"
         df.write.mode("append").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions.chunks import embedding_text, point_id
 from lekhya.functions.vectors import checked
-from lekhya.io import materialise
+from lekhya.io import remove, written
 from lekhya.rules import NEPALI, RulePack
 
 #: texts -> (dense vectors, {token: weight} of each)
@@ -141,15 +141,15 @@ class Collection:
         number = at[-1] if at else 0
         old = self._pointer(number)
         paths = old["paths"]
-        latest = materialise(last_wins(new, "point_id", "ord"))
         bucket = F.pmod(F.xxhash64("point_id"), F.lit(old["buckets"])).cast("int")
-        touched = sorted(r[0] for r in latest.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
-        if touched:
-            before = self._read([paths[str(b)] for b in touched if str(b) in paths])
-            folder = f"v{number + 1:012d}-{uuid.uuid4().hex[:8]}"
-            rows = latest if before is None else before.join(latest.select("point_id"), "point_id", "left_anti").unionByName(latest)
-            rows.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self._dir}/{folder}")
-            paths = paths | {str(b): f"{folder}/bucket={b}" for b in touched}
+        with written(last_wins(new, "point_id", "ord")) as latest:
+            touched = sorted(r[0] for r in latest.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
+            if touched:
+                before = self._read([paths[str(b)] for b in touched if str(b) in paths])
+                folder = f"v{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+                rows = latest if before is None else before.join(latest.select("point_id"), "point_id", "left_anti").unionByName(latest)
+                rows.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self._dir}/{folder}")
+                paths = paths | {str(b): f"{folder}/bucket={b}" for b in touched}
         self._point(number + 1, {"buckets": old["buckets"], "paths": paths})
         self._sweep(set(paths.values()) | set(old["paths"].values()), self._pointer(number - 1)["paths"].values(), at[:-1])
         got = self._read(paths.values())
@@ -168,16 +168,13 @@ class Collection:
     def _sweep(self, kept: set[str], earlier, numbers: list[int]) -> None:
         """Remove folders that only earlier pointers name, and these pointers."""
         for folder in set(earlier) - kept:
-            fs, where = self._fs(f"{self._dir}/{folder}")
-            fs.delete(where, True)
+            remove(self.spark, f"{self._dir}/{folder}")
         for n in numbers:
-            fs, where = self._fs(f"{self._dir}/pointers/{n:012d}")
-            fs.delete(where, False)
+            remove(self.spark, f"{self._dir}/pointers/{n:012d}")
 
     def delete(self) -> None:
         """Remove the collection; an absent one is no error."""
-        fs, where = self._fs(self._dir)
-        fs.delete(where, True)
+        remove(self.spark, self._dir)
 
     def info(self) -> dict:
         got = self.read()

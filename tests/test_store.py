@@ -38,6 +38,18 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     assert c.read() is None
 
 
+def test_written_tables_can_be_removed(spark):
+    from lekhya import io
+
+    with io.written(spark.range(3)) as df:
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    kept = io.materialise(spark.range(2))
+    assert f"/lekhya-{spark.sparkContext.applicationId}/" in kept.inputFiles()[0]
+    io.remove(spark, io.written_folder(spark) + "/absent")
+
+
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     from types import SimpleNamespace
 
