@@ -268,8 +268,12 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objects(rows: DataFrame) -> DataFrame:
-    """Each distinct object once, with the number of its occurrences."""
-    return rows.groupBy("child", "child_hash").agg(F.first("canonical").alias("canonical"), F.count("*").alias("n_occurrences"))
+    """Each distinct object once, with the number of its occurrences.
+
+    The canonical form follows from the hash; as a key it keeps the aggregation
+    in hash tables.
+    """
+    return rows.groupBy("child", "child_hash", "canonical").agg(F.count("*").alias("n_occurrences"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
