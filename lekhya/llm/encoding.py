@@ -20,7 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.io import table
-from lekhya.llm.columns import column, matches
+from lekhya.io import table, written
+from lekhya.llm.columns import column, counts, matches
 
 #: Encodings that text may have been read in by mistake.
 CODECS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1254", "iso8859_15", "koi8_r", "cp866")
@@ -42,8 +42,13 @@ STEP_COST, UNEXPLAINED_COST = 1, 2
 NEAR = 0.9
 #: What a character that no language has adds, besides its compressed form.
 ALIEN_COST = 4
-#: Clean texts per language that the dictionaries are trained on, and their size.
-SAMPLE, DICT_BYTES = 1500, 65_536
+#: The size of a dictionary, and the characters of a piece in which longer words count.
+DICT_BYTES, PIECE = 65_536, 60
+#: Words of a language that a dictionary is trained on, more than it can hold; about how
+#: many copies of them, in proportion to their counts in all texts, and copies in a line.
+WORDS, COPIES, LINE = 32_768, 60_000, 40
+#: No text is sampled and nothing reads this; tests that set it show that it has no effect.
+SAMPLE = None
 #: How many times likelier than the next a character must be to fill a gap.
 FAR_LIKELIER = 4
 #: A value without this has no wrongly decoded part; the same in Java and Python.
@@ -54,6 +59,8 @@ _GARBLED = re.compile(GARBLED)
 #: The same for RE2.
 GARBLED_RE2 = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", GARBLED)
 LOST = "�"
+#: The script that tells the languages apart, for RE2.
+DEVANAGARI_RE2 = r"[\x{0900}-\x{097F}]"
 #: Filled gaps that a worker remembers.
 FILLS = 100_000
 #: What may fill a gap: Devanagari, and punctuation and signs of three bytes.
@@ -169,25 +176,57 @@ def plausible(text: str, raw: str, a: int, b: int, spots: list[re.Match], decode
 
 @dataclass(frozen=True)
 class Models:
-    """Per-language dictionaries, from a bounded sample, and counts of character pairs."""
+    """Per-language dictionaries and counts of character pairs, both of all clean texts."""
 
     dictionaries: tuple[bytes, ...] = ()
     pairs: dict = field(default_factory=dict)
 
 
-def train(samples: list[list[str]]) -> Models:
-    """Dictionaries of the sample texts of each language; few texts give none."""
+def _by_language(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The texts with Devanagari, and the others."""
+    own = matches(texts, DEVANAGARI_RE2)
+    return texts.filter(own), texts.filter(pc.invert(own))
+
+
+def _words_in(texts: pa.Array) -> Iterator[tuple[str, int]]:
+    """(word, how often) of the words of the texts; long ones count in pieces, so a word may come again."""
+    words, n = counts(pc.ascii_split_whitespace(texts).flatten())
+    for w, k in zip(words.to_pylist(), n.to_pylist()):
+        for i in range(0, len(w), PIECE):
+            yield w[i : i + PIECE], k
+
+
+def composed(words: dict[str, int]) -> list[str]:
+    """Lines of the words, each as often as its count demands and at least once, evenly mixed."""
+    total, copies = max(sum(words.values()), COPIES), []
+    for w, n in words.items():
+        k = -(-n * COPIES // total)
+        copies += [((2 * j + 1) / (2 * k), w) for j in range(k)]
+    mixed = [" " + w for _, w in sorted(copies)]
+    return ["".join(mixed[i : i + LINE]) for i in range(0, len(mixed), LINE)]
+
+
+def dictionary(words: dict[str, int]) -> bytes:
+    """The dictionary of a language with these counts of words; of few words, these themselves."""
+    data = [t.encode() for t in composed(words)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, data, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(data)[-DICT_BYTES:]
+
+
+def train(texts: list[list[str]]) -> Models:
+    """The models of the texts of each language, as ``models_of`` has them for a table."""
     dicts, pairs = [], Counter()
-    for texts in samples:
-        for t in texts:
+    for part in texts:
+        words: Counter = Counter()
+        for w, n in _words_in(pa.array(part, pa.string())):
+            words[w] += n
+        for t in part:
             pairs.update(t[i : i + 2] for i in range(len(t) - 1) if t[i] > "ࣿ")
-        data = [t.encode() for t in texts if t]
-        try:
-            dicts.append(zstandard.train_dictionary(DICT_BYTES, data, level=3).as_bytes())
-        except (zstandard.ZstdError, ValueError):
-            if data:
-                dicts.append(b"".join(data)[-DICT_BYTES:])
-    return Models(tuple(dicts), dict(pairs))
+        best = sorted(words, key=lambda w: (-(words[w] - 1) * (len(w.encode()) + 1), w))[:WORDS]
+        dicts.append(dictionary({w: words[w] for w in best}))
+    return Models(tuple(d for d in dicts if d), dict(pairs))
 
 
 def _pairs_in(texts: list[str]) -> Iterator[tuple[str, int]]:
@@ -209,9 +248,10 @@ def _pairs_in(texts: list[str]) -> Iterator[tuple[str, int]]:
         yield chr(known[x // len(known)]) + chr(known[x % len(known)]), k
 
 
-def pair_counts(chunks: DataFrame) -> dict[str, int]:
-    """How often each character pair occurs in all clean texts.
+def text_counts(chunks: DataFrame) -> DataFrame:
+    """(kind, item, n): how often each character pair and each word occurs in all clean texts.
 
+    Kind 0 are words of texts with Devanagari, 1 words of the others, 2 pairs.
     Only pairs that can fill a gap are kept, so the alphabet bounds them: one
     of the two is of Devanagari or a sign.
     """
@@ -219,31 +259,29 @@ def pair_counts(chunks: DataFrame) -> dict[str, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = column(b, "text")
-            clean = text.filter(pc.invert(matches(text, GARBLED_RE2))).to_pylist()
-            found = [(p, n) for p, n in _pairs_in(clean) if _FILLS.search(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["pair", "n"])
+            clean = text.filter(pc.invert(matches(text, GARBLED_RE2)))
+            found = [(kind, w, n) for kind, part in enumerate(_by_language(clean)) for w, n in _words_in(part)]
+            found += [(2, p, n) for p, n in _pairs_in(clean.to_pylist()) if _FILLS.search(p)]
+            cols = list(zip(*found)) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64()))], ["kind", "item", "n"])
 
-    counted = chunks.select("text").filter("text IS NOT NULL").mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r["pair"]: r["n"] for r in counted.collect()}
+    counted = chunks.select("text").filter("text IS NOT NULL").mapInArrow(run, "kind int, item string, n bigint")
+    return counted.groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 def models_of(chunks: DataFrame) -> Models:
-    """Dictionaries of the clean ones of 4 * SAMPLE texts, those of least key hash, and the pairs of all.
+    """Dictionaries and pairs, from the counts of all clean texts.
 
-    The keys are ranked without reading a text; only the chosen texts are read.
+    Words are ranked by the bytes that all of their occurrences but the first
+    take, counted over the whole table; more than a dictionary can hold are taken.
     """
-    key = F.xxhash64("chunk_row_id")
-    last = chunks.select(key.alias("h")).orderBy("h").limit(4 * SAMPLE).agg(F.max("h")).collect()[0][0]
-    samples: tuple[list[str], list[str]] = ([], [])
-    if last is not None:
-        rows = chunks.filter(key <= F.lit(last)).select("chunk_row_id", "text").limit(8 * SAMPLE).collect()
-        for r in sorted(rows, key=lambda r: r["chunk_row_id"]):
-            text = r["text"]
-            if text and len(text) > 20 and not maybe_garbled(text):
-                part = samples[0 if re.search("[ऀ-ॿ]", text) else 1]
-                if len(part) < SAMPLE:
-                    part.append(text)
-    return replace(train(list(samples)), pairs=pair_counts(chunks))
+    with written(text_counts(chunks)) as counted:
+        pairs = {r["item"]: r["n"] for r in counted.filter("kind = 2").collect()}
+        repeated, dicts = (F.col("n") - 1) * (F.octet_length("item") + 1), []
+        for kind in (0, 1):
+            best = counted.filter(F.col("kind") == kind).orderBy(repeated.desc(), "item").limit(WORDS).collect()
+            dicts.append(dictionary({r["item"]: r["n"] for r in best}))
+    return Models(tuple(d for d in dicts if d), pairs)
 
 
 class Repairer:

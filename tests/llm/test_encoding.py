@@ -112,3 +112,40 @@ def test_every_candidate_is_compressed():
     text = misread("निवेदन दर्ता", "cp1252")
     spy(text)
     assert {t for _, t, _ in spy.candidates(text)} <= set(seen)
+
+
+LATE = ("अभिलेख तथा प्रतिवेदन राख्नु पर्नेछ।", "छिमेकीको मञ्जुरीनामा र सञ्चालकको निवेदन", "A café or canteen attached to a haulage business, résumé and communiqué")
+
+
+def late_corpus():
+    """3,000 texts of two languages without the words of LATE, and 600 with them behind these."""
+    early = [f"The office shall keep register {i} of fees and notices." for i in range(1500)] + [f"दफा {i} मा उल्लेख भए बमोजिम हुनेछ।" for i in range(1500)]
+    return early + [LATE[i % 3] for i in range(600)]
+
+
+def late_garbled():
+    """A value of a late word that lost its control characters, and what it was."""
+    before, word = "दफा मा उल्लेख भए बमोजिम ", "मञ्जुरीनामा"
+    return before + "".join(c for c in misread(word, "cp1252") if not "\x80" <= c < "\xa0"), before + word
+
+
+def test_dictionaries_of_all_texts(spark):
+    schema = "chunk_row_id bigint, text string, hierarchy struct<ch_title: string, sec_title: string>"
+    texts = late_corpus()
+    models = E.models_of(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], schema).repartition(7))
+    assert models.dictionaries == E.train([[t for t in texts if t > "ऀ"], [t for t in texts if t < "ऀ"]]).dictionaries
+    for word, which in (("अभिलेख", 0), ("मञ्जुरीनामा", 0), ("canteen", 1), ("communiqué", 1)):
+        assert word.encode() in models.dictionaries[which]
+    turned = spark.createDataFrame([(-i, t, None) for i, t in enumerate(texts)], schema)
+    assert E.models_of(turned) == models and E.models_of(turned.limit(0)) == E.Models()
+
+
+def test_words_count_whole():
+    texts = ["क" * 150 + " क ख", "क  ख\nx", ""]
+    got = {}
+    for w, n in E._words_in(E.pa.array(texts)):
+        got[w] = got.get(w, 0) + n
+    assert {w: n for w, n in got.items() if w} == {"क" * 60: 2, "क" * 30: 1, "क": 2, "ख": 2, "x": 1}
+    assert sorted(" ".join(E.composed({"क": 3, "ख": 1})).split()) == ["क"] * 3 + ["ख"]
+    many = "".join(E.composed({"क": 900_000, "ख": 300_000, "ग": 1})).split()
+    assert abs(many.count("क") / many.count("ख") - 3) < 0.001 and many.count("ग") == 1

@@ -2,6 +2,7 @@ import pyarrow as pa
 import pytest
 
 from lekhya.llm import encoding, scans as S
+from tests.llm.test_encoding import late_corpus, late_garbled
 
 
 def shape(text):
@@ -121,3 +122,10 @@ def test_running_heads_by_repetition(spark):
     got = S.noisy(values, scanned, S.corrections(S.materialise(S.word_counts(scanned)))).collect()
     assert sorted(r.chunk_row_id for r in got) == [*range(S.MIN_HEADS), 50]
     assert S.repair_text(rest[0][1], {}, heads=frozenset(["सरकारी प्रकाशन #"])) == "एक हुन्छ।"
+
+
+def test_mending_knows_the_words_of_all_texts(spark):
+    garbled, meant = late_garbled()
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate([*late_corpus(), garbled])], CHUNK)
+    scanned = S.scan(S.scan_values(df.filter(f"chunk_row_id = {len(late_corpus())}")), encoding.models_of(df)).collect()
+    assert {r.word for r in scanned if r.word} == set(meant.split()) and [r.value for r in scanned if r.noisy is False] == [meant]
