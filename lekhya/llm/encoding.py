@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhya.io import table, written
-from lekhya.llm.columns import column, counts, matches
+from lekhya.llm.columns import column, counts, matches, split
 
 #: Encodings that text may have been read in by mistake.
 CODECS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1254", "iso8859_15", "koi8_r", "cp866")
@@ -42,11 +42,13 @@ STEP_COST, UNEXPLAINED_COST = 1, 2
 NEAR = 0.9
 #: What a character that no language has adds, besides its compressed form.
 ALIEN_COST = 4
-#: The size of a dictionary, and the characters of a piece in which longer words count.
-DICT_BYTES, PIECE = 65_536, 60
-#: Words of a language that a dictionary is trained on, more than it can hold; about how
+#: The size of a dictionary, and the characters of a piece in which longer clauses count.
+DICT_BYTES, PIECE = 65_536, 300
+#: Clauses of a language that a dictionary is trained on, more than it can hold; about how
 #: many copies of them, in proportion to their counts in all texts, and copies in a line.
-WORDS, COPIES, LINE = 32_768, 60_000, 40
+CLAUSES, COPIES, LINE = 8_192, 20_000, 5
+#: Between clauses, for RE2.
+CLAUSE_ENDS = r"[ ]*[।.;:\n]+[ ]*"
 #: No text is sampled and nothing reads this; tests that set it show that it has no effect.
 SAMPLE = None
 #: How many times likelier than the next a character must be to fill a gap.
@@ -188,27 +190,27 @@ def _by_language(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return texts.filter(own), texts.filter(pc.invert(own))
 
 
-def _words_in(texts: pa.Array) -> Iterator[tuple[str, int]]:
-    """(word, how often) of the words of the texts; long ones count in pieces, so a word may come again."""
-    words, n = counts(pc.ascii_split_whitespace(texts).flatten())
-    for w, k in zip(words.to_pylist(), n.to_pylist()):
-        for i in range(0, len(w), PIECE):
-            yield w[i : i + PIECE], k
+def _clauses_in(texts: pa.Array) -> Iterator[tuple[str, int]]:
+    """(clause, how often) of the clauses of the texts; long ones count in pieces, so a clause may come again."""
+    clauses, n = counts(split(texts, CLAUSE_ENDS)[1])
+    for c, k in zip(clauses.to_pylist(), n.to_pylist()):
+        for i in range(0, len(c), PIECE):
+            yield c[i : i + PIECE], k
 
 
-def composed(words: dict[str, int]) -> list[str]:
-    """Lines of the words, each as often as its count demands and at least once, evenly mixed."""
-    total, copies = max(sum(words.values()), COPIES), []
-    for w, n in words.items():
+def composed(clauses: dict[str, int]) -> list[str]:
+    """Lines of the clauses, each as often as its count demands and at least once, evenly mixed."""
+    total, copies = max(sum(clauses.values()), COPIES), []
+    for c, n in clauses.items():
         k = -(-n * COPIES // total)
-        copies += [((2 * j + 1) / (2 * k), w) for j in range(k)]
+        copies += [((2 * j + 1) / (2 * k), c) for j in range(k)]
     mixed = [" " + w for _, w in sorted(copies)]
     return ["".join(mixed[i : i + LINE]) for i in range(0, len(mixed), LINE)]
 
 
-def dictionary(words: dict[str, int]) -> bytes:
-    """The dictionary of a language with these counts of words; of few words, these themselves."""
-    data = [t.encode() for t in composed(words)]
+def dictionary(clauses: dict[str, int]) -> bytes:
+    """The dictionary of a language with these counts of clauses; of few clauses, these themselves."""
+    data = [t.encode() for t in composed(clauses)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, data, level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -219,13 +221,13 @@ def train(texts: list[list[str]]) -> Models:
     """The models of the texts of each language, as ``models_of`` has them for a table."""
     dicts, pairs = [], Counter()
     for part in texts:
-        words: Counter = Counter()
-        for w, n in _words_in(pa.array(part, pa.string())):
-            words[w] += n
+        clauses: Counter = Counter()
+        for w, n in _clauses_in(pa.array(part, pa.string())):
+            clauses[w] += n
         for t in part:
             pairs.update(t[i : i + 2] for i in range(len(t) - 1) if t[i] > "ࣿ")
-        best = sorted(words, key=lambda w: (-(words[w] - 1) * (len(w.encode()) + 1), w))[:WORDS]
-        dicts.append(dictionary({w: words[w] for w in best}))
+        best = sorted(clauses, key=lambda w: (-(clauses[w] - 1) * (len(w.encode()) + 1), w))[:CLAUSES]
+        dicts.append(dictionary({w: clauses[w] for w in best}))
     return Models(tuple(d for d in dicts if d), dict(pairs))
 
 
@@ -249,9 +251,9 @@ def _pairs_in(texts: list[str]) -> Iterator[tuple[str, int]]:
 
 
 def text_counts(chunks: DataFrame) -> DataFrame:
-    """(kind, item, n): how often each character pair and each word occurs in all clean texts.
+    """(kind, item, n): how often each character pair and each clause occurs in all clean texts.
 
-    Kind 0 are words of texts with Devanagari, 1 words of the others, 2 pairs.
+    Kind 0 are clauses of texts with Devanagari, 1 clauses of the others, 2 pairs.
     Only pairs that can fill a gap are kept, so the alphabet bounds them: one
     of the two is of Devanagari or a sign.
     """
@@ -260,7 +262,7 @@ def text_counts(chunks: DataFrame) -> DataFrame:
         for b in batches:
             text = column(b, "text")
             clean = text.filter(pc.invert(matches(text, GARBLED_RE2)))
-            found = [(kind, w, n) for kind, part in enumerate(_by_language(clean)) for w, n in _words_in(part)]
+            found = [(kind, c, n) for kind, part in enumerate(_by_language(clean)) for c, n in _clauses_in(part)]
             found += [(2, p, n) for p, n in _pairs_in(clean.to_pylist()) if _FILLS.search(p)]
             cols = list(zip(*found)) if found else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64()))], ["kind", "item", "n"])
@@ -272,14 +274,14 @@ def text_counts(chunks: DataFrame) -> DataFrame:
 def models_of(chunks: DataFrame) -> Models:
     """Dictionaries and pairs, from the counts of all clean texts.
 
-    Words are ranked by the bytes that all of their occurrences but the first
+    Clauses are ranked by the bytes that all of their occurrences but the first
     take, counted over the whole table; more than a dictionary can hold are taken.
     """
     with written(text_counts(chunks)) as counted:
         pairs = {r["item"]: r["n"] for r in counted.filter("kind = 2").collect()}
         repeated, dicts = (F.col("n") - 1) * (F.octet_length("item") + 1), []
         for kind in (0, 1):
-            best = counted.filter(F.col("kind") == kind).orderBy(repeated.desc(), "item").limit(WORDS).collect()
+            best = counted.filter(F.col("kind") == kind).orderBy(repeated.desc(), "item").limit(CLAUSES).collect()
             dicts.append(dictionary({r["item"]: r["n"] for r in best}))
     return Models(tuple(d for d in dicts if d), pairs)
 

@@ -140,12 +140,20 @@ def test_dictionaries_of_all_texts(spark):
     assert E.models_of(turned) == models and E.models_of(turned.limit(0)) == E.Models()
 
 
-def test_words_count_whole():
-    texts = ["क" * 150 + " क ख", "क  ख\nx", ""]
+def test_clauses_count_whole():
+    texts = ["क" * 750 + "। क; ख ग.", "क ।ख ग\nx", ""]
     got = {}
-    for w, n in E._words_in(E.pa.array(texts)):
-        got[w] = got.get(w, 0) + n
-    assert {w: n for w, n in got.items() if w} == {"क" * 60: 2, "क" * 30: 1, "क": 2, "ख": 2, "x": 1}
+    for c, n in E._clauses_in(E.pa.array(texts)):
+        got[c] = got.get(c, 0) + n
+    assert {c: n for c, n in got.items() if c} == {"क" * 300: 2, "क" * 150: 1, "क": 2, "ख ग": 2, "x": 1}
     assert sorted(" ".join(E.composed({"क": 3, "ख": 1})).split()) == ["क"] * 3 + ["ख"]
     many = "".join(E.composed({"क": 900_000, "ख": 300_000, "ग": 1})).split()
     assert abs(many.count("क") / many.count("ख") - 3) < 0.001 and many.count("ग") == 1
+
+
+def test_restored_by_the_words_of_all_texts(spark):
+    garbled, meant = late_garbled()
+    rows = [(i, t, None) for i, t in enumerate(late_corpus())] + [(9000, garbled, (None, garbled))]
+    df = spark.createDataFrame(rows, "chunk_row_id bigint, text string, hierarchy struct<ch_title: string, sec_title: string>")
+    got = {(r.chunk_row_id, r.field): (r.restored, r.chain, r.recovered) for r in E.restored(df).collect()}
+    assert got == {(9000, "text"): (meant, "cp1252", True), (9000, "sec_title"): (meant, "cp1252", True)}
