@@ -101,6 +101,63 @@ def test_slices_give_the_same_as_brute_force(spark, monkeypatch, queries_of_slic
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_task_returns_k_rows_a_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", 8)
+    docs = spark.createDataFrame([(i, [float(i % 7), 1.0], {"a": float(i % 5 + 1)}) for i in range(40)], "docid bigint, vector array<double>, weights map<string,double>").coalesce(1)
+    asked = spark.createDataFrame([(q, [1.0, 0.0], {"a": 1.0}) for q in range(4)], "qid bigint, qvec array<double>, qweights map<string,double>")
+    for mode in ("dense", "sparse", "weighted"):
+        assert retrieval.candidates(docs, asked, 3, mode, retrieval.dot).count() == 4 * 3
+
+
+@pytest.mark.parametrize("unit", [1.0, 0.5])
+def test_memory_of_common_words(unit):
+    """Products of shared words are not all held at once: here they are 60 a score."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def maps(n):
+        return pa.array([[(f"w{i}", unit * (i % 3 + 1)) for i in range(60)]] * n, pa.map_(pa.string(), pa.float64()))
+
+    asked = retrieval.Asked(pa.array(range(2000)), None, maps(2000), False)
+    found = asked.found(maps(400))
+    tracemalloc.start()
+    got = asked.sparse(found, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == 60 * 14 / 3 * unit**2).all() and got.shape == (400, 2000) and peak < 100e6
+    assert np.isnan(asked.sparse(asked.found(pa.array([[("x", 1.0)]], pa.map_(pa.string(), pa.float64()))), False)).all()
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("threshold", [None, 2.0])
+def test_best_of_blocks(monkeypatch, ordered, threshold):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "WAITING", 5)
+    monkeypatch.setattr(retrieval, "BLOCK_PRODUCTS", 20)
+    rnd = np.random.default_rng(7)
+    ids = np.array([f"d{i:03}" for i in (range(200) if ordered else rnd.permutation(200))])
+    scores = rnd.integers(0, 6, (200, 3)).astype(float)
+    scores[rnd.random((200, 3)) < 0.3] = np.nan
+    best = retrieval.Best(3, 4, threshold)
+    for at in range(0, 200, 10):
+        order = np.argsort(ids[at : at + 10])
+        best.add(pa.array(ids[at : at + 10][order]), scores[at : at + 10][order])
+    q, s, d = best.rank()
+    want = [sorted((-x, i) for x, i in zip(scores[:, c], ids) if not np.isnan(x) and (threshold is None or x >= threshold))[:4] for c in range(3)]
+    assert list(zip(q.tolist(), (-s).tolist(), d.to_pylist())) == [(c, *w) for c in range(3) for w in want[c]]
+
+
+def test_text_counts_as_bags(spark):
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else " ".join("abcdefg"[(i * j) % 7] for j in range(i % 6))) for i in range(60)], "docid int, text string")
+    asked = retrieval.bags(df.filter("docid % 4 = 1")).select(F.col("docid").alias("qid"), F.col("weights").alias("qweights"))
+    want = {(r.qid, r.docid, r["rank"], r.score) for r in retrieval.sparse_search(retrieval.bags(df), asked, 5).collect()}
+    assert want and {(r.qid, r.docid, r["rank"], r.score) for r in retrieval.sparse_search(df, asked, 5).collect()} == want
+
+
 def test_bags(spark):
     df = spark.createDataFrame([(1, "a b  a\nc"), (2, ""), (3, None), (4, " ")], "docid int, text string")
     assert {r.docid: r.weights for r in retrieval.bags(df).collect()} == {1: {"a": 1.0, "b": 1.0, "a\nc": 1.0}, 2: {}, 3: None, 4: {}}
