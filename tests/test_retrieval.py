@@ -158,6 +158,17 @@ def test_text_counts_as_bags(spark):
     assert want and {(r.qid, r.docid, r["rank"], r.score) for r in retrieval.sparse_search(df, asked, 5).collect()} == want
 
 
+def test_hybrid_counts_words_where_it_scores(spark):
+    """A second Python process for the words would take as much memory again."""
+    df = spark.createDataFrame([(i, " ".join("abcdefg"[(i * j) % 7] for j in range(i % 6))) for i in range(60)], "docid bigint, text string")
+    vectors = df.select("docid", F.array(F.col("docid") % 7, F.lit(1.0)).alias("vector"))
+    asked = retrieval.bags(df.filter("docid % 4 = 1")).join(vectors, "docid").select(F.col("docid").alias("qid"), F.col("weights").alias("qweights"), F.col("vector").alias("qvec"))
+    want = {(r.qid, r.docid, r["rank"], r.score) for r in retrieval.hybrid_search(vectors, retrieval.bags(df), asked, 3, digits=6).collect()}
+    got = retrieval.hybrid_search(vectors, df, asked, 3, digits=6)
+    assert want and {(r.qid, r.docid, r["rank"], r.score) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
 def test_bags(spark):
     df = spark.createDataFrame([(1, "a b  a\nc"), (2, ""), (3, None), (4, " ")], "docid int, text string")
     assert {r.docid: r.weights for r in retrieval.bags(df).collect()} == {1: {"a": 1.0, "b": 1.0, "a\nc": 1.0}, 2: {}, 3: None, 4: {}}
