@@ -233,3 +233,27 @@ def test_windows_over_buckets(spark, monkeypatch):
         monkeypatch.setattr(relevance, "BUCKET", width)
         got = relevance.context_windows(spark.createDataFrame(rows, CHUNK)).collect()
         assert sorted((r.act_slug, r.ord, r.text) for r in got) == sorted((g[0][1], g[0][2], "\n\n".join(x[5] for x in g)) for g in want)
+
+
+def test_second_stage_moves_no_texts(spark, monkeypatch):
+    pool = [(f"q{i % 5}", i, None if i % 4 == 0 else i / 10, i // 5 + 1) for i in range(50)] + [("gone", 1, 1.0, 1), ("q1", 999, 1.0, 99), ("q2", None, 1.0, 99)]
+    pool = spark.createDataFrame(pool, "qid string, docid bigint, score double, rank int")
+    texts = [(i, None if i == 7 else " ".join("abcdefg"[(i * j) % 7] for j in range(i % 6))) for i in range(49)] + [(3, "a b"), (None, "a")]
+    texts = spark.createDataFrame(texts, "docid bigint, text string").repartition(3)
+    queries = spark.createDataFrame([("q0", "a b"), ("q1", "c"), ("q2", None), ("q3", "a d g"), ("q3", "e"), (None, "a"), ("q9", "b")], "qid string, query string")
+
+    def rows(df):
+        return sorted((r.qid, r.docid, r["rank"], round(r.rerank_score, 9), r.original_score) for r in df.collect())
+
+    # all of them, so that a repeated id leaves no tie open
+    want = rows(retrieval.rerank(pool.join(texts, "docid").join(queries, "qid"), 99))
+    assert len(want) == 52
+    keep = [x[:2] + x[3:] for x in want]
+    for pairs, size, block in ((500_000, 16_000_000, 1_000), (20, 16_000_000, 2), (500_000, 5, 1)):
+        for name, value in (("SLICE_PAIRS", pairs), ("SLICE_TEXT", size), ("BLOCK_PAIRS", block)):
+            monkeypatch.setattr(retrieval, name, value)
+        got = retrieval.second_stage(pool, queries, texts, 99)
+        assert sorted(x[:2] + x[3:] for x in rows(got)) == sorted(keep)
+        best = {x for x in rows(retrieval.second_stage(pool, queries.filter("qid <> 'q3'"), texts.filter("text IS NULL OR text <> 'a b'"), 2))}
+        assert best == set(rows(retrieval.rerank(pool.join(texts.filter("text IS NULL OR text <> 'a b'"), "docid").join(queries.filter("qid <> 'q3'"), "qid"), 2)))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
