@@ -257,3 +257,17 @@ def test_second_stage_moves_no_texts(spark, monkeypatch):
         best = {x for x in rows(retrieval.second_stage(pool, queries.filter("qid <> 'q3'"), texts.filter("text IS NULL OR text <> 'a b'"), 2))}
         assert best == set(rows(retrieval.rerank(pool.join(texts.filter("text IS NULL OR text <> 'a b'"), "docid").join(queries.filter("qid <> 'q3'"), "qid"), 2)))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_stage_joins_no_texts(spark):
+    df = spark.createDataFrame([(i, " ".join("abcdefg"[(i * j) % 7] for j in range(i % 6))) for i in range(60)], "docid bigint, text string")
+    vectors = df.select("docid", F.array(F.col("docid") % 7, F.lit(1.0)).alias("vector"))
+    asked = retrieval.bags(df.filter("docid % 4 = 1")).join(vectors, "docid").select(F.col("docid").alias("qid"), F.col("text").alias("query"), F.col("weights").alias("qweights"), F.col("vector").alias("qvec"))
+
+    def rows(got):
+        return {(r.qid, r.docid, r["rank"], r.rerank_score, r.original_score) for r in got.collect()}
+
+    pool = retrieval.hybrid_search(vectors, retrieval.bags(df), asked, 3 * retrieval.RERANK_POOL, digits=6)
+    want = rows(retrieval.rerank(pool.join(df, "docid").join(asked.select("qid", "query"), "qid"), 3))
+    got = retrieval.two_stage("hybrid", vectors, df, asked, df, 3, retrieval.overlap_scorer, digits=6)
+    assert want and rows(got) == want and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
